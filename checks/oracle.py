@@ -169,7 +169,7 @@ TURNS = (
     f"turns as materialized (select {planted.REQUEST_ID} as request_id, conv_id, turn, role, {planted.TURN_TEXT} as text "
     "from conversations)"
 )
-BODIES = f"{TURNS},\nbodies as materialized (select request_id, conv_id, {planted.body_sql()} as body from turns)"
+BODIES = f"{TURNS},\nbodies as materialized (select request_id, conv_id, {planted.BODY} as body from (select *, {', '.join(planted.BODY_PARTS)} from turns))"
 
 
 def candidate_ctes(source: str = "corpus", types: list[str] | None = None) -> str:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,21 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the expression that ``build`` returns for the same (hashable) arguments. Putting together a whole scan
+    takes thousands of calls into the JVM; expressions are immutable, so plans can share them."""
+    kept: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def get(*args) -> Column:
+        key = (id(SparkContext._active_spark_context), *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return get
+
+
 def empty_array(ddl: str) -> Column:
     return F.array().cast(f"array<{ddl}>")
 

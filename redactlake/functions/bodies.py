@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from redactlake.functions.arrays import bind, empty_array
+from redactlake.functions.arrays import bind, built_once, empty_array
 from redactlake.functions.scan import ScanOptions, scan_struct
 
 SEGMENT = "struct<path:string,text:string>"
@@ -153,16 +153,19 @@ def whole_body(body: Column) -> Column:
     return _segment(F.lit("body"), body)
 
 
-def segments_of(body: Column, kind: Column) -> Column:
+@built_once
+def segments_of(body: str, kind: str) -> Column:
+    """Texts to scan, by column names: those of user messages, or the whole body of raw text and dry runs."""
     return (
-        F.when(kind == "json", bind(json_document(body), message_segments))
-        .when(kind == "text", whole_body(body))
+        F.when(F.col(kind) == "json", bind(json_document(F.col(body)), message_segments))
+        .when(F.col(kind).isin("text", "dry_run"), whole_body(F.col(body)))
         .otherwise(empty_array(SEGMENT))
     )
 
 
-def scan_segments(segments: Column, options: ScanOptions = ScanOptions()) -> Column:
-    """Scan every segment on its own; placeholders start anew in each."""
+@built_once
+def scan_segments(segments: str, options: ScanOptions = ScanOptions()) -> Column:
+    """Scan every text of an array column of segments on its own; placeholders start anew in each."""
 
     def scanned(segment: Column) -> Column:
         return bind(

@@ -7,6 +7,8 @@ stretch of text is walked a bounded number of times; the matches stay the same.
 
 from __future__ import annotations
 
+import re
+
 from redactlake import fixed_values as fv
 
 WORD = "0-9A-Za-z_"
@@ -18,9 +20,22 @@ WORD_END = f"(?![{WORD}])"
 EDGE = f"(?:(?<=[{WORD}]){WORD_END}|{WORD_START}(?=[{WORD}]))"
 
 
-def to_java(pattern: str) -> str:
-    """Translate an RE2 pattern: ASCII word edges, ASCII white space, Unicode case folding."""
-    out = pattern.replace("(?i)", "(?iu)").replace(r"\b", EDGE)
+def to_java(pattern: str, ends_in_word: bool = True) -> str:
+    """Translate an RE2 pattern: ASCII word edges, ASCII white space, Unicode case folding.
+
+    A leading edge before a character that is a word character by itself becomes a look-behind after that character:
+    then the search skips from one such character to the next. A last edge only looks ahead, unless the pattern can
+    end in something else than a word character.
+    """
+    out = pattern.replace("(?i)", "(?iu)")
+    leading = re.match(r"\\b(\[[0-9A-Za-z\-]+\]|\\d|[A-Za-z])(?:\{(\d+)(?:,(\d+))?\})?", out)
+    if leading:
+        first, low, high = leading[1], int(leading[2] or 1), int(leading[3] or leading[2] or 1)
+        more = f"{first}{{{low - 1},{high - 1}}}" if high > 1 else ""
+        out = f"{first}(?<![{WORD}]{first}){more}{out[leading.end() :]}"
+    if ends_in_word and out.endswith(r"\b"):
+        out = out[:-2] + WORD_END
+    out = out.replace(r"\b", EDGE)
     parts, in_class, i = [], False, 0
     while i < len(out):
         two = out[i : i + 2]
@@ -41,13 +56,20 @@ def to_java(pattern: str) -> str:
 
 def _email() -> str:
     """A match can only begin at the first word edge of a run of local-part characters, or right after the previous
-    match: any later edge of the run ends at the same character after the run. Later edges are skipped, so a run is
-    walked once instead of once per edge."""
+    match (which ends at an edge): any later edge of the run leads to the same character after the run. Later edges are
+    skipped, so a run is walked once instead of once per edge."""
     local = rf"A-Za-z0-9._%+\-{FOLDED}"
     marks = rf".%+\-{FOLDED}"
     domain = rf"A-Za-z0-9.\-{FOLDED}"
-    first_edge = f"(?=[{WORD}])(?<![{WORD}])(?<![{WORD}][{marks}]{{1,8}})"
-    return rf"(?:{first_edge}|\G{EDGE})[{local}]++@[{domain}]+\.[A-Za-z{FOLDED}]{{2,}}{EDGE}"
+    first_edge = f"(?<![{WORD}][{local}])(?<=[{WORD}])(?<![{WORD}][{marks}]{{1,8}}[{WORD}])"
+    after_match = rf"(?<=\G[{local}])(?<=[\s\S][{local}])"
+    return rf"[{local}](?:{first_edge}|{after_match})[{local}]*+@[{domain}]+\.[A-Za-z{FOLDED}]{{2,}}{EDGE}"
+
+
+def _plate(separator: str, before_number: str) -> str:
+    """Umlauts are no word characters, so the edge before them needs a word character in front."""
+    edge = f"(?:(?<=[A-Z])(?<![{WORD}][A-Z])|(?<=[{WORD}][ÄÖÜ]))"
+    return rf"[A-ZÄÖÜ]{edge}[A-ZÄÖÜ]{{0,2}}{separator}[A-Z]{{1,2}}{before_number}[1-9][0-9]{{0,3}}[EH]?{WORD_END}"
 
 
 def _longest_first(words: list[str]) -> str:
@@ -84,20 +106,21 @@ def _address() -> str:
 
 PATTERNS = {
     "EMAIL": _email(),
-    "PHONE": to_java(fv.PHONE),
-    "CREDIT_CARD": to_java(fv.CREDIT_CARD),
-    "IBAN": to_java(fv.IBAN),
+    "PHONE": "(?=[0+])" + to_java(fv.PHONE),
+    # all forms begin with four digits
+    "CREDIT_CARD": r"\d{4}(?:[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|[ \-]\d{6}[ \-]\d{5}|[ \-]\d{6}[ \-]\d{4}|\d{9,15})",
+    "IBAN": to_java(fv.IBAN, ends_in_word=False),
     "PERSONAL_ID": to_java(fv.PERSONAL_ID),
     "SOCIAL_SECURITY": to_java(fv.SOCIAL_SECURITY),
     "TAX_ID": to_java(fv.TAX_ID),
     "VAT_ID": to_java(fv.VAT_ID),
     "KVNR": to_java(fv.KVNR),
-    "PLATE_HYPHEN": to_java(fv.PLATE_HYPHEN),
-    "PLATE_SPACE": to_java(fv.PLATE_SPACE),
+    "PLATE_HYPHEN": _plate("-", " ?"),
+    "PLATE_SPACE": _plate(" ", " "),
     "DRIVER_LICENSE": to_java(fv.DRIVER_LICENSE),
     "DRIVER_CONTEXT": to_java(fv.DRIVER_CONTEXT),
     "ADDRESS": _address(),
-    "GENERIC_SECRET": to_java(fv.GENERIC_SECRET),
+    "GENERIC_SECRET": "(?=[aApPsStT\u017f])" + to_java(fv.GENERIC_SECRET),
     "URL_SECRET": to_java(fv.URL_SECRET),
 }
 

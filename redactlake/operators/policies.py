@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from redactlake.functions.bodies import scan_segments, segments_of, triage_kind, whole_body
-from redactlake.functions.scan import ScanOptions
 from redactlake.operators.joins import with_lookup
+from redactlake.operators.requests import mask_by_policy
 
 
 def apply_policies(requests: DataFrame, policies: DataFrame, body: str = "body") -> DataFrame:
@@ -17,15 +15,4 @@ def apply_policies(requests: DataFrame, policies: DataFrame, body: str = "body")
     a policy run all detectors with an empty whitelist. Policies are keyed by a 16-bit port, so they stay small.
     """
     joined = with_lookup(requests, policies.select("port", "detectors", "whitelist", "dry_run"), "port")
-    dry = F.coalesce(F.col("dry_run"), F.lit(False))
-    kind = triage_kind(F.col(body), dry)
-    options = ScanOptions(F.col("detectors"), F.col("whitelist"))
-    segments = F.when(F.col("kind") == "dry_run", whole_body(F.col(body))).otherwise(
-        segments_of(F.col(body), F.col("kind"))
-    )
-    return (
-        joined.withColumn("kind", kind)
-        .withColumn("segments", segments)
-        .withColumn("scans", scan_segments(F.col("segments"), options))
-        .drop("segments", "detectors", "whitelist", "dry_run")
-    )
+    return mask_by_policy(joined, body).drop("detectors", "whitelist", "dry_run")

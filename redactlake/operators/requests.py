@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from redactlake import fixed_values as fv
 from redactlake.functions.arrays import empty_array
-from redactlake.functions.bodies import body_kind, scan_segments, segments_of, whole_body
-from redactlake.functions.scan import ScanOptions, findings_of
+from redactlake.functions.bodies import body_kind, scan_segments, segments_of, triage_kind
+from redactlake.functions.scan import ScanOptions, column_findings
 from redactlake.functions.spans import FINDING, mask, merge_whitelists
 from redactlake.operators.scans import FINDING_COLUMNS, explode_array
 
@@ -27,26 +27,28 @@ def quarantine(df: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def body_segments(df: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``kind`` and ``segments``, the texts that masking looks at."""
-    return triage(df, body).withColumn("segments", segments_of(F.col(body), F.col("kind")))
+def _scan(with_kind: DataFrame, body: str, options: ScanOptions) -> DataFrame:
+    return (
+        with_kind.withColumn("segments", segments_of(body, "kind"))
+        .withColumn("scans", scan_segments("segments", options))
+        .drop("segments")
+    )
 
 
 def mask_bodies(df: DataFrame, body: str = "body", options: ScanOptions = ScanOptions()) -> DataFrame:
     """Add ``kind`` and ``scans``: path, text, masked text and findings of every segment. No shuffle."""
-    return (
-        body_segments(df, body)
-        .withColumn("scans", scan_segments(F.col("segments"), options))
-        .drop("segments")
-    )
+    return _scan(triage(df, body), body, options)
 
 
 def dry_run(df: DataFrame, body: str = "body", options: ScanOptions = ScanOptions()) -> DataFrame:
     """Scan whole bodies as they are, JSON syntax and all roles included, and change nothing."""
-    segments = F.when(body_kind(F.col(body)) == "empty", empty_array("struct<path:string,text:string>")).otherwise(
-        whole_body(F.col(body))
-    )
-    return df.withColumn("scans", scan_segments(segments, options)).withColumn("kind", F.lit("dry_run"))
+    return _scan(df.withColumn("kind", triage_kind(F.col(body), F.lit(True))), body, options)
+
+
+def mask_by_policy(df: DataFrame, body: str = "body") -> DataFrame:
+    """As ``mask_bodies``, with the lists of each row in detectors and whitelist and its dry_run flag."""
+    kind = triage_kind(F.col(body), F.coalesce(F.col("dry_run"), F.lit(False)))
+    return _scan(df.withColumn("kind", kind), body, ScanOptions("detectors", "whitelist"))
 
 
 def masked_segments(masked: DataFrame, key: str = "request_id") -> DataFrame:
@@ -98,7 +100,7 @@ def summarize(masked: DataFrame, key: str = "request_id") -> DataFrame:
 
 def mask_user_turns(df: DataFrame, text: str = "text", options: ScanOptions = ScanOptions()) -> DataFrame:
     """Flat conversations: mask turns of the user, pass all others through, in one pass."""
-    found = F.when(F.col("role") == "user", findings_of(F.col(text), options)).otherwise(empty_array(FINDING))
+    found = F.when(F.col("role") == "user", column_findings(text, options)).otherwise(empty_array(FINDING))
     return df.withColumn("findings", found).withColumn("anonymised_text", mask(F.col(text), F.col("findings")))
 
 

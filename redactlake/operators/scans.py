@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactlake.functions.detectors import candidates_of
-from redactlake.functions.scan import ScanOptions, findings_of
+from redactlake.functions.scan import ScanOptions, column_findings
 from redactlake.functions.spans import mapping_of, mask
 
 FINDING_COLUMNS = ["pii_type", "start", "end", "text", "confidence", "placeholder", "rule_id"]
@@ -43,7 +43,7 @@ def candidates(df: DataFrame, text: str = "text", key: str = "scan_id", detector
 
 def scan_texts(df: DataFrame, text: str = "text", options: ScanOptions = ScanOptions()) -> DataFrame:
     """Add ``findings`` and ``anonymised_text``; one narrow stage, no shuffle."""
-    return df.withColumn("findings", findings_of(F.col(text), options)).withColumn(
+    return df.withColumn("findings", column_findings(text, options)).withColumn(
         "anonymised_text", mask(F.col(text), F.col("findings"))
     )
 

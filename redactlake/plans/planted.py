@@ -107,11 +107,16 @@ def _quoted(text: str) -> str:
     return f"concat(chr(34), {out}, chr(34))"
 
 
-def body_sql() -> str:
+# JSON strings that a body is put together from
+BODY_PARTS = [
+    f"{_quoted('text')} as said",
+    f"{_quoted(sentence('(request_id + 1)'))} as extra",
+    f"{_quoted(sentence('(request_id + 2)'))} as more",
+]
+
+
+def _body() -> str:
     """A request body per turn, in one of ten layouts."""
-    said = _quoted("text")
-    extra = _quoted(sentence("(request_id + 1)"))
-    more = _quoted(sentence("(request_id + 2)"))
     system = '{"system": "Contact support@example.com", "messages": ['
     opening = f"concat('{system}', '{{\"role\": \"assistant\", \"content\": \"ask boss@example.com\"}}, "
 
@@ -119,27 +124,32 @@ def body_sql() -> str:
         return f"{opening}{{\"role\": \"', role, '\", \"content\": ', {content}, '}}]}}')"
 
     cases = [
-        message(said),
-        message(f"concat('[{{\"type\": \"text\", \"text\": ', {said}, '}}, {{\"type\": \"image\", \"text\": ', {extra}, '}}]')"),
-        message(f"concat('[{{\"type\": \"tool_result\", \"tool_use_id\": \"x\", \"content\": ', {said}, '}}]')"),
+        message("said"),
+        message("concat('[{\"type\": \"text\", \"text\": ', said, '}, {\"type\": \"image\", \"text\": ', extra, '}]')"),
+        message("concat('[{\"type\": \"tool_result\", \"tool_use_id\": \"x\", \"content\": ', said, '}]')"),
         message(
-            f"concat('[{{\"type\": \"tool_result\", \"content\": [{{\"type\": \"text\", \"text\": ', {said}, '}}, "
-            f"{{\"type\": \"other\", \"text\": ', {extra}, '}}, \"plain\"]}}]')"
+            "concat('[{\"type\": \"tool_result\", \"content\": [{\"type\": \"text\", \"text\": ', said, '}, "
+            "{\"type\": \"other\", \"text\": ', extra, '}, \"plain\"]}]')"
         ),
         message(
-            f"concat('[{{\"type\": \"tool_use\", \"input\": {{\"a\": ', {said}, ', \"b\": {{\"c\": ', {extra}, ', \"d\": [', "
-            f"{more}, '], \"e\": {{\"f\": {{\"g\": ', {more}, '}}}}}}, \"n\": 5}}}}]')"
+            "concat('[{\"type\": \"tool_use\", \"input\": {\"a\": ', said, ', \"b\": {\"c\": ', extra, ', \"d\": [', more, "
+            "'], \"e\": {\"f\": {\"g\": ', more, '}}}, \"n\": 5}}]')"
         ),
         "text",
-        f"concat('[', {said}, ']')",
+        "concat('[', said, ']')",
         "''",
-        message(_quoted("concat('[{', text, '}]')")),
-        f"concat('{{\"messages\": ', {said}, ', ', text)",
+        # a string that looks like a list of blocks
+        message("concat(chr(34), '[{', substr(said, 2, length(said) - 2), '}]', chr(34))"),
+        "concat('{\"messages\": ', said, ', ', text)",
     ]
     whens = " ".join(f"when {i} then {c}" for i, c in enumerate(cases))
     return f"case cast(request_id % {len(cases)} as int) {whens} end"
 
 
+BODY = _body()
+
+
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request bodies: request_id, conv_id, body."""
-    return turns(spark, sf_dir).selectExpr("request_id", "conv_id", f"{body_sql()} as body")
+    rows = turns(spark, sf_dir).selectExpr("*", *BODY_PARTS)
+    return rows.selectExpr("request_id", "conv_id", f"{BODY} as body")

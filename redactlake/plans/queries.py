@@ -120,7 +120,7 @@ for _type in fv.PII_TYPES:
 @query
 def select_detectors(spark, sf_dir):
     chosen = planted.corpus(spark, sf_dir).withColumn("detectors", F.expr(DETECTOR_CHOICE))
-    scanned = scans.scan_texts(chosen, options=ScanOptions(detectors=F.col("detectors")))
+    scanned = scans.scan_texts(chosen, options=ScanOptions(detectors="detectors"))
     return scans.explode_findings(scanned).select(*FLAT, "placeholder")
 
 
@@ -311,7 +311,7 @@ def default_policy_fallback(spark, sf_dir):
         "array('FIRMA2', 'firma4') as default_whitelist",
     )
     effective = requests.effective_lists(rows)
-    options = ScanOptions(F.col("effective_detectors"), F.col("effective_whitelist"))
+    options = ScanOptions("effective_detectors", "effective_whitelist")
     scanned = scans.scan_texts(effective, options=options)
     return scanned.select(
         "scan_id",
