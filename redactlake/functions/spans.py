@@ -58,18 +58,6 @@ def resolve_overlaps(candidates: Column) -> Column:
     Candidates are taken by start, then higher priority, then greater length, then position in the input. One that
     overlaps the last kept candidate replaces it if its priority is higher, or equal and it is longer.
     """
-    keyed = F.sort_array(
-        F.transform(
-            candidates,
-            lambda c, i: F.struct(
-                c["start"].alias("start"),
-                (-c["prio"]).alias("by_prio"),
-                (c["start"] - c["end"]).alias("by_length"),
-                i.alias("place"),
-                c.alias("candidate"),
-            ),
-        )
-    )
     nothing = F.lit(None).cast(CANDIDATE)
 
     def step(acc: Column, k: Column):
@@ -84,9 +72,24 @@ def resolve_overlaps(candidates: Column) -> Column:
     def finish(kept: Column, acc: Column) -> Column:
         return F.concat(kept, F.array(acc["last"]))
 
-    return F.when(
-        F.size(candidates) > 1, fold_collect(keyed, {"last": nothing}, step, CANDIDATE, finish)
-    ).otherwise(candidates)
+    def settled(found: Column) -> Column:
+        keyed = F.sort_array(
+            F.transform(
+                found,
+                lambda c, i: F.struct(
+                    c["start"].alias("start"),
+                    (-c["prio"]).alias("by_prio"),
+                    (c["start"] - c["end"]).alias("by_length"),
+                    i.alias("place"),
+                    c.alias("candidate"),
+                ),
+            )
+        )
+        return F.when(
+            F.size(found) > 1, fold_collect(keyed, {"last": nothing}, step, CANDIDATE, finish)
+        ).otherwise(found)
+
+    return bind(candidates, settled)
 
 
 def assign_placeholders(resolved: Column) -> Column:
@@ -155,19 +158,27 @@ def assign_placeholders(resolved: Column) -> Column:
 
 
 def mask(text: Column, findings: Column) -> Column:
-    """Text with every finding replaced by its placeholder: gaps and placeholders, joined from left to right."""
+    """Text with every finding replaced by its placeholder: gaps and placeholders, joined from left to right.
 
-    def spliced(raw: Column) -> Column:
+    ``findings`` is bound, since a filter on the result makes Spark put the expression behind it in its place.
+    """
+
+    def spliced(raw: Column, found: Column) -> Column:
         def part(f: Column, i: Column) -> Column:
-            gap_start = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(findings[i - 1]["end"])
+            gap_start = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(found[i - 1]["end"])
             gap = F.substring(raw, (gap_start + 1).cast("int"), (f["start"] - gap_start).cast("int"))
             return F.concat(gap.cast("string"), f["placeholder"])
 
-        last_end = findings[F.size(findings) - 1]["end"]
+        last_end = found[F.size(found) - 1]["end"]
         tail = F.substring(raw, (last_end + 1).cast("int"), F.octet_length(raw))
-        return F.array_join(F.concat(F.transform(findings, part), F.array(tail.cast("string"))), "")
+        return F.array_join(F.concat(F.transform(found, part), F.array(tail.cast("string"))), "")
 
-    return F.when(F.size(findings) > 0, bind(text.cast("binary"), spliced)).otherwise(text)
+    return bind(
+        findings,
+        lambda found: F.when(
+            F.size(found) > 0, bind(text.cast("binary"), lambda raw: spliced(raw, found))
+        ).otherwise(text),
+    )
 
 
 def mapping_of(findings: Column) -> Column:

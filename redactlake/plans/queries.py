@@ -194,10 +194,11 @@ def placeholder_map(spark, sf_dir):
 
 @query
 def restore(spark, sf_dir):
+    # one scan, written once; masked texts and vault are read from it
     path = sinks.shared_dir(spark, "restore")
-    sinks.write_redacted(_scanned(spark, sf_dir), f"{path}/redacted")
-    sinks.write_mapping(_scanned(spark, sf_dir), f"{path}/mapping")
-    return restore_texts(spark.read.parquet(f"{path}/redacted"), spark.read.parquet(f"{path}/mapping"))
+    _scanned(spark, sf_dir).select("scan_id", "anonymised_text", "findings").write.parquet(path)
+    scanned = spark.read.parquet(path)
+    return restore_texts(scanned.select("scan_id", "anonymised_text"), scans.placeholder_map(scanned))
 
 
 @query
