@@ -8,6 +8,9 @@ from redactlake.plans import planted
 from redactlake.plans.queries import BURST, CALLS, ENTRIES, POLICY_JSON, WHITELIST
 
 
+BOUNDARY = r"\b"
+
+
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -76,8 +79,12 @@ def detectors(source: str, types: list[str]) -> tuple[str, str]:
     if wanted("SECRET"):
         for n, (rule, pattern, literals, confidence) in enumerate(fv.SECRET_RULES):
             needs = " or ".join(f"contains(text, {lit(x)})" for x in literals)
-            add("SECRET", f"h_secret{n}", pattern, confidence, needs=f"({needs})", rule=lit(rule))
-        value = f"regexp_extract(text, {lit(fv.GENERIC_SECRET)}, 1)"
+            value = f"regexp_extract(text, {lit(pattern)}, 1)" if rule == "jwt" else "text"
+            add(
+                "SECRET", f"h_secret{n}", pattern, confidence, needs=f"({needs})", rule=lit(rule), text=value,
+                shift=f"strlen(text) - strlen({value})", cshift=f"length(text) - length({value})",
+            )
+        value = f"regexp_extract(text, {lit(fv.GENERIC_SECRET.replace(BOUNDARY, '', 1))}, 1)"
         add(
             "SECRET", "h_generic", fv.GENERIC_SECRET, fv.GENERIC_SECRET_CONFIDENCE, text=value, rule=lit(fv.GENERIC_SECRET_RULE),
             shift=f"strlen(text) - strlen({value})", cshift=f"length(text) - length({value})",
@@ -148,8 +155,10 @@ def detectors(source: str, types: list[str]) -> tuple[str, str]:
         add("KVNR", "h_kvnr", fv.KVNR, f"case when {total} % 10 = substr(text, 10, 1)::int then 0.95 else 0.6 end")
     if wanted("LICENSE_PLATE"):
         for name, pattern, confidence in (("h_plate1", fv.PLATE_HYPHEN, 0.75), ("h_plate2", fv.PLATE_SPACE, 0.65)):
-            size = " + ".join(f"length(regexp_extract(text, {lit(pattern)}, {g}))" for g in (1, 2))
-            size += f" + length(rtrim(regexp_extract(text, {lit(pattern)}, 3), 'EH'))"
+            # the match by itself has no word character in front of an umlaut
+            form = lit(pattern.replace(r"\b", ""))
+            size = " + ".join(f"length(regexp_extract(text, {form}, {g}))" for g in (1, 2))
+            size += f" + length(rtrim(regexp_extract(text, {form}, 3), 'EH'))"
             add("LICENSE_PLATE", name, pattern, confidence, where=f"{size} between 4 and 8")
     if wanted("DRIVER_LICENSE"):
         ctes.append(hits("h_context", source, fv.DRIVER_CONTEXT))

@@ -105,7 +105,7 @@ SECRET_RULES = [
     ("slack-token", r"\bxox[baprs]-[A-Za-z0-9-]{10,}", ["xox"], 1.0),
     ("google-api-key", r"\bAIza[0-9A-Za-z_-]{35}", ["AIza"], 1.0),
     ("stripe-key", r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", ["k_live_", "k_test_"], 1.0),
-    ("jwt", r"\beyJ[\w-]+\.eyJ[\w-]+\.[\w-]+", ["eyJ"], 1.0),
+    ("jwt", r"(?:^|[^\w-])(eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+)", ["eyJ"], 1.0),
     ("pem-private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ["PRIVATE KEY-----"], 1.0),
 ]
 GENERIC_SECRET_RULE = "generic-assignment"

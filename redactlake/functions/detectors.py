@@ -169,18 +169,16 @@ def _tail_of_match(pii_type: str, confidence: float, value: Callable[[Column], C
 
 def _secret_rules() -> Iterable[Rule]:
     for rule_id, pattern, literals, confidence in fv.SECRET_RULES:
-        # possessive, so that long runs are walked once
-        java = to_java(pattern).replace(r"[\w-]+\.", r"[\w-]++\.")
+        java = PATTERNS.get(rule_id) or to_java(pattern)
         yield Rule("SECRET", java, _holds(*literals), _every_match("SECRET", confidence, rule_id))
-    generic = PATTERNS["GENERIC_SECRET"]
     yield Rule(
         "SECRET",
-        generic,
+        PATTERNS["GENERIC_SECRET"],
         _fits(GATES["GENERIC_SECRET"]),
         _tail_of_match(
             "SECRET",
             fv.GENERIC_SECRET_CONFIDENCE,
-            lambda m: F.regexp_extract(m, generic, 1),
+            lambda m: F.regexp_extract(m, PATTERNS["GENERIC_SECRET_VALUE"], 1),
             fv.GENERIC_SECRET_RULE,
         ),
     )

@@ -35,7 +35,8 @@ def to_java(pattern: str, ends_in_word: bool = True) -> str:
         out = f"{first}(?<![{WORD}]{first}){more}{out[leading.end() :]}"
     if ends_in_word and out.endswith(r"\b"):
         out = out[:-2] + WORD_END
-    out = out.replace(r"\b", EDGE)
+    # word characters stay ASCII where the rest ignores case
+    out = out.replace(r"\b", f"(?-iu:{EDGE})" if "(?iu)" in out else EDGE)
     parts, in_class, i = [], False, 0
     while i < len(out):
         two = out[i : i + 2]
@@ -121,6 +122,10 @@ PATTERNS = {
     "DRIVER_CONTEXT": to_java(fv.DRIVER_CONTEXT),
     "ADDRESS": _address(),
     "GENERIC_SECRET": "(?=[aApPsStT\u017f])" + to_java(fv.GENERIC_SECRET),
+    # a token begins where no token character precedes, so a run of such characters is walked once
+    "jwt": r"e(?<![\w-]e)yJ[\w-]++\.eyJ[\w-]++\.[\w-]++",
+    # for the value inside a match, which has no text before it
+    "GENERIC_SECRET_VALUE": to_java(fv.GENERIC_SECRET.replace(r"\b", "", 1)),
     "URL_SECRET": to_java(fv.URL_SECRET),
 }
 
@@ -142,8 +147,8 @@ GATES = {
         rf"[0-9][{SPACE}]*+[A-Za-z{FOLDED}]?+[{SPACE}]*+,?+[{SPACE}]*+"
         rf"(?<=[{SPACE}])[0-9]{{4,5}}+[{SPACE}]++[A-Za-zÄÖÜäöü{FOLDED}]"
     ),
-    "GENERIC_SECRET": rf"[:=][{SPACE}]*+[\"']?+[A-Za-z0-9_+/=.\-]{{16}}",
-    "URL_SECRET": r"[?&][A-Za-z_]++=",
+    "GENERIC_SECRET": rf"[:=][{SPACE}]*+[\"']?+[A-Za-z0-9_+/=.\-{FOLDED}]{{16}}",
+    "URL_SECRET": rf"[?&][A-Za-z_{FOLDED}]++=",
 }
 
 # Conditions shared by several detectors, tried first: most texts fail them, and then one pass over the text stands

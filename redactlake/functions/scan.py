@@ -58,6 +58,12 @@ def findings_of(text: Column, options: ScanOptions = ScanOptions()) -> Column:
     return bind(candidates_of(text, detectors), settle)
 
 
+@built_once
+def column_candidates(text: str, detectors: tuple[str, ...] | None = None) -> Column:
+    """``candidates_of`` for a column name and a fixed list of detectors."""
+    return candidates_of(F.col(text), detectors)
+
+
 @built_once
 def column_findings(text: str, options: ScanOptions = ScanOptions()) -> Column:
     """``findings_of`` for a column name."""

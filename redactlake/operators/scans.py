@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactlake.functions.detectors import candidates_of
-from redactlake.functions.scan import ScanOptions, column_findings
+from redactlake.functions.scan import ScanOptions, column_candidates, column_findings
 from redactlake.functions.spans import mapping_of, mask
 
 FINDING_COLUMNS = ["pii_type", "start", "end", "text", "confidence", "placeholder", "rule_id"]
@@ -35,7 +34,8 @@ def explode_array(df: DataFrame, array: str, keep: list[str], fields: list[str])
 
 def candidates(df: DataFrame, text: str = "text", key: str = "scan_id", detectors=None) -> DataFrame:
     """Flat table of raw candidates, before white list and overlap resolution."""
-    found = df.select(key, candidates_of(F.col(text), detectors).alias("candidates"))
+    chosen = None if detectors is None else tuple(detectors)
+    found = df.select(key, column_candidates(text, chosen).alias("candidates"))
     return explode_array(
         found, "candidates", [key], ["pii_type", "start", "end", "text", "confidence", "rule_id", "prio", "ordinal"]
     )

@@ -127,7 +127,7 @@ def test_equal_text_of_two_types(spark):
 def test_one_text_with_very_many_findings(spark):
     text = " ".join(f"u{i % 3000}@example.com" for i in range(5000))
     df = spark.createDataFrame([(1, text)], "scan_id int, text string")
-    scanned = scans.scan_texts(df, options=ScanOptions(detectors=["EMAIL"]))
+    scanned = scans.scan_texts(df, options=ScanOptions(detectors=["EMAIL"])).persist()
     row = scanned.first()
     assert len(row["findings"]) == 5000
     assert row["findings"][4999]["placeholder"] == f"[EMAIL_{4999 % 3000 + 1}]"
@@ -137,7 +137,7 @@ def test_one_text_with_very_many_findings(spark):
 
 def test_invariants_on_the_corpus(spark, sf_dir):
     corpus = planted.corpus(spark, sf_dir)
-    scanned = scans.scan_texts(corpus)
+    scanned = scans.scan_texts(corpus).persist()
     rows = scanned.collect()
     for row in rows:
         raw, at = row["text"].encode(), 0
