@@ -11,13 +11,13 @@ import re
 
 from redactlake import fixed_values as fv
 
-WORD = "0-9A-Za-z_"
 SPACE = r"\t\n\f\r "
 # letters whose simple case folding lands on ASCII s and k
 FOLDED = "\u017f\u212a"
-WORD_START = f"(?<![{WORD}])"
-WORD_END = f"(?![{WORD}])"
-EDGE = f"(?:(?<=[{WORD}]){WORD_END}|{WORD_START}(?=[{WORD}]))"
+# Java's \w, \d and \p{Alpha} are ASCII and one table look-up each, where ranges are tried one by one
+WORD_START = r"(?<!\w)"
+WORD_END = r"(?!\w)"
+EDGE = rf"(?:(?<=\w){WORD_END}|{WORD_START}(?=\w))"
 
 
 def to_java(pattern: str, ends_in_word: bool = True) -> str:
@@ -32,11 +32,10 @@ def to_java(pattern: str, ends_in_word: bool = True) -> str:
     if leading:
         first, low, high = leading[1], int(leading[2] or 1), int(leading[3] or leading[2] or 1)
         more = f"{first}{{{low - 1},{high - 1}}}" if high > 1 else ""
-        out = f"{first}(?<![{WORD}]{first}){more}{out[leading.end() :]}"
+        out = rf"{first}(?<!\w.){more}{out[leading.end() :]}"
     if ends_in_word and out.endswith(r"\b"):
         out = out[:-2] + WORD_END
-    # word characters stay ASCII where the rest ignores case
-    out = out.replace(r"\b", f"(?-iu:{EDGE})" if "(?iu)" in out else EDGE)
+    out = out.replace(r"\b", EDGE)
     parts, in_class, i = [], False, 0
     while i < len(out):
         two = out[i : i + 2]
@@ -59,18 +58,18 @@ def _email() -> str:
     """A match can only begin at the first word edge of a run of local-part characters, or right after the previous
     match (which ends at an edge): any later edge of the run leads to the same character after the run. Later edges are
     skipped, so a run is walked once instead of once per edge."""
-    local = rf"A-Za-z0-9._%+\-{FOLDED}"
+    local = rf"\w.%+\-{FOLDED}"
     marks = rf".%+\-{FOLDED}"
-    domain = rf"A-Za-z0-9.\-{FOLDED}"
-    first_edge = f"(?<![{WORD}][{local}])(?<=[{WORD}])(?<![{WORD}][{marks}]{{1,8}}[{WORD}])"
-    after_match = rf"(?<=\G[{local}])(?<=[\s\S][{local}])"
-    return rf"[{local}](?:{first_edge}|{after_match})[{local}]*+@[{domain}]+\.[A-Za-z{FOLDED}]{{2,}}{EDGE}"
+    domain = rf"\p{{Alnum}}.\-{FOLDED}"
+    first_edge = rf"(?<!\w.)(?<=\w)(?<!\w[{marks}]{{1,8}}.)"
+    after_match = r"(?<=\G.)(?<=[\s\S].)"
+    return rf"[{local}](?:{first_edge}|{after_match})[{local}]*+@[{domain}]+\.[\p{{Alpha}}{FOLDED}]{{2,}}{EDGE}"
 
 
 def _plate(separator: str, before_number: str) -> str:
     """Umlauts are no word characters, so the edge before them needs a word character in front."""
-    edge = f"(?:(?<=[A-Z])(?<![{WORD}][A-Z])|(?<=[{WORD}][ÄÖÜ]))"
-    return rf"[A-ZÄÖÜ]{edge}[A-ZÄÖÜ]{{0,2}}{separator}[A-Z]{{1,2}}{before_number}[1-9][0-9]{{0,3}}[EH]?{WORD_END}"
+    edge = r"(?:(?<=[A-Z])(?<!\w.)|(?<=\w[ÄÖÜ]))"
+    return rf"[\p{{Upper}}ÄÖÜ]{edge}[A-ZÄÖÜ]{{0,2}}{separator}[A-Z]{{1,2}}{before_number}[1-9][0-9]{{0,3}}[EH]?{WORD_END}"
 
 
 def _longest_first(words: list[str]) -> str:
@@ -85,9 +84,9 @@ def _address() -> str:
     names hold single hyphens only, double ones can stand just before the suffix. The look-ahead rejects nearly every
     word (no number follows) before any suffix is tried."""
     ws = f"[{SPACE}]"
-    first = f"A-Za-zÄÖÜäöü{FOLDED}"
+    first = rf"\p{{Alpha}}ÄÖÜäöü{FOLDED}"
     letter = f"{first}ßẞ"
-    ascii_letter = f"[A-Za-z{FOLDED}]"
+    ascii_letter = rf"[\p{{Alpha}}{FOLDED}]"
     suffix = f"(?iu:{_longest_first(fv.STREET_SUFFIXES)})"
     preposition = f"(?=[AaBbHhIiNnOoUuVvZz])(?iu:{_longest_first(fv.STREET_PREPOSITIONS)}){ws}++"
     begin = rf"(?:{preposition}|(?:\G|(?<![{first}])))"
@@ -157,7 +156,7 @@ SHARED_GATES = {
     # eight digits with nothing but separators between them
     "digits": rf"[0-9](?:[{SPACE}()/\-]*+[0-9]){{7}}",
     # what identity codes, bank codes and plates begin with
-    "capitals": r"[A-ZÄÖÜ](?:[A-Z0-9]{8}|[A-Z][0-9]{2}[A-Z0-9 ]{11}|[- ][A-Z]{1,2} ?[1-9])",
+    "capitals": r"[\p{Upper}ÄÖÜ](?:[A-Z0-9]{8}|[A-Z][0-9]{2}[A-Z0-9 ]{11}|[- ][A-Z]{1,2} ?[1-9])",
 }
 SHARED_GATE_OF = {
     "PHONE": "digits",

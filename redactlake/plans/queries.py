@@ -472,10 +472,13 @@ def _finished(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
 
 @query
 def stream_scan(spark, sf_dir):
-    scanned = jobs.scan_stream(_stream_corpus(spark, sf_dir)).select(
-        "scan_id", "anonymised_text", F.size("findings").cast("bigint").alias("n_findings")
-    )
-    return _finished(spark, scanned, "stream-scan")
+    path = sinks.shared_dir(spark, "stream-scan")
+
+    def masked(scanned: DataFrame) -> DataFrame:
+        return scanned.select("scan_id", "anonymised_text", F.size("findings").cast("bigint").alias("n_findings"))
+
+    jobs.write_scan(_stream_corpus(spark, sf_dir), f"{path}/out", f"{path}/checkpoint", masked).awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("batch")
 
 
 @query

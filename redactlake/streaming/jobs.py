@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from redactlake import fixed_values as fv
 from redactlake.functions.scan import ScanOptions
-from redactlake.operators.scans import explode_findings, placeholder_map, scan_texts
+from redactlake.operators.scans import explode_findings, placeholder_map, scan_texts, spread
 
 
 def read_stream(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:
@@ -37,6 +37,35 @@ def scan_stream(texts: DataFrame, text: str = "text", options: ScanOptions = Sca
     return scan_texts(texts, text, options)
 
 
+def write_scan(
+    texts: DataFrame,
+    path: str,
+    checkpoint: str,
+    select: Callable[[DataFrame], DataFrame],
+    text: str = "text",
+    options: ScanOptions = ScanOptions(),
+) -> StreamingQuery:
+    """Mask a stream batch by batch, so that a batch made of one small file is spread over all cores.
+
+    Every batch has a folder of its own that a repeated batch overwrites, so each text counts once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scanned = scan_texts(spread(batch), text, options)
+        select(scanned).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _each_batch(texts, write, checkpoint)
+
+
+def _each_batch(texts: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return (
+        texts.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def findings_per_minute(
     scanned: DataFrame, ts: str = "ts", lateness: str = "10 minutes", size: str = "1 minute"
 ) -> DataFrame:
@@ -116,7 +145,7 @@ def write_all_sinks(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scanned = scan_texts(batch, text, options).persist()
+        scanned = scan_texts(spread(batch), text, options).persist()
         try:
             outputs = {
                 "findings": explode_findings(scanned, key).drop("text"),
@@ -129,9 +158,4 @@ def write_all_sinks(
         finally:
             scanned.unpersist()
 
-    return (
-        texts.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _each_batch(texts, write, checkpoint)
