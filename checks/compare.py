@@ -20,6 +20,9 @@ TABLES = (
 ).split()
 
 
+SAME_TYPE = {"varchar": "string", "integer": "int"}
+
+
 def local_session(cores: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -56,6 +59,11 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str, na
     took = f"{len(mine)} rows, {spark_done - begun:.1f} s, SQL {time.time() - spark_done:.1f} s"
     if sorted(columns) != sorted(df.columns):
         return f"DIFF columns {sorted(df.columns)} / {sorted(columns)}"
+    mine_types = {c: t for c, t in df.dtypes}
+    their_types = {c[0]: SAME_TYPE.get(str(c[1]).lower(), str(c[1]).lower()) for c in result.description}
+    odd = {c: (t, their_types[c]) for c, t in mine_types.items() if t != their_types[c]}
+    if odd:
+        took += f", types {odd}"
     if mine == theirs:
         return f"same ({took})"
     left, right = [r for r in mine if r not in set(theirs)][:3], [r for r in theirs if r not in set(mine)][:3]

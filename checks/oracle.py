@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from redactlake import fixed_values as fv
 from redactlake.plans import planted
-from redactlake.plans.queries import BURST, CALLS, ENTRIES, POLICY_JSON, WHITELIST
+from redactlake.plans.queries import CALLS, ENTRIES, POLICY_JSON, WHITELIST
 
 
 BOUNDARY = r"\b"

@@ -88,7 +88,7 @@ def _address() -> str:
     letter = f"{first}ßẞ"
     ascii_letter = rf"[\p{{Alpha}}{FOLDED}]"
     suffix = f"(?iu:{_longest_first(fv.STREET_SUFFIXES)})"
-    preposition = f"(?=[AaBbHhIiNnOoUuVvZz])(?iu:{_longest_first(fv.STREET_PREPOSITIONS)}){ws}++"
+    preposition = f"(?=[AaBbHhIiNnOoUuVvZz][BbEeIiMmNnOoUu])(?iu:{_longest_first(fv.STREET_PREPOSITIONS)}){ws}++"
     begin = rf"(?:{preposition}|(?:\G|(?<![{first}])))"
     number_ahead = rf"(?=[{first}][{letter}][{letter}\-]*+(?:[\-{SPACE}]++[{letter}]++)?+\.?{ws}++[0-9])"
     single_hyphens = rf"(?![{letter}\-]*?--)[{first}][{letter}][{letter}\-]*{suffix}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRIC_PREFIX = "pii_scan"
@@ -74,11 +74,6 @@ def exposition(summaries: DataFrame, prefix: str = METRIC_PREFIX) -> DataFrame:
     )
     rows = counted.select(F.explode(lines).alias("l")).select("l.no", "l.value")
     # at most one row per counter and type is left here
-    position = F.row_number().over(_by("no", "value"))
+    position = F.row_number().over(Window.orderBy("no", "value"))
     return rows.select(position.alias("line_no"), "value")
 
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)

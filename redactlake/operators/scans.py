@@ -13,7 +13,7 @@ FINDING_COLUMNS = ["pii_type", "start", "end", "text", "confidence", "placeholde
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small input over all cores. Inputs that already have a partition per core stay as they are, so a large
-    corpus is never shuffled. Streams are left alone."""
+    corpus is never shuffled. Meant for tables straight from files; streams are left alone."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -396,7 +396,7 @@ def rate_key(spark, sf_dir):
 
 
 # thirty days of events squeezed into about 22 minutes, every second call from one caller
-BURST = """select event_id as seq, timestamp_micros(cast((unix_micros(cast(ts as timestamp)) - 1704067200000000) / 2000 + 1704067200000000 as bigint)) as ts,
+BURST = """select event_id as seq, timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz '2024-01-01 00:00:00', ts) div 2000 + 1704067200000000) as ts,
  case when event_id % 2 = 0 then 'k:busy' else concat('ip:', user_id % 10) end as rate_key from {events}"""
 
 
