@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactlake.llm.exact_dedup import exact_groups
+from redactlake.llm.mixing import mix
 from redactlake.llm.packing import pack
 from redactlake.llm.token_counts import token_counts
 
@@ -30,11 +31,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op3_exact_dedup,
         op5_packing,
         op9_token_counts,
+        op10_mixing,
     ]
     return {query.__name__: query for query in registered}
 
@@ -48,5 +54,34 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from (
 """
 
 
+OP10 = """
+with docs as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
+         substr(md5(coalesce(doc_id::varchar, '')), 1, 15) as key, text
+  from documents),
+ranked as (
+  select source, row_number() over (order by source nulls last) as rank, source_size
+  from (select source, sum(size)::bigint as source_size from docs group by source)),
+limited as (
+  select *, 1 + (rank - 1) % 3 as weight, 3 * source_size as top, (3 * source_size)::double / (1 + (rank - 1) % 3) as reach
+  from ranked),
+levels as (
+  select *, (sum(source_size) over () - coalesce(sum(top) over (order by reach, rank rows between unbounded preceding and 1 preceding), 0))::double
+         / sum(weight) over (order by reach, rank rows between current row and unbounded following) as level
+  from limited),
+targets as (
+  select source, source_size,
+         least(top::double, weight * (select level from levels where level <= reach order by reach, rank limit 1)) as target
+  from levels)
+select doc_id, size, source_size, target,
+       (epochs * size + least(greatest(budget - epochs * source_size - earlier, 0), size))::bigint as taken
+from (
+  select doc_id, size, source_size, target, floor(target)::bigint as budget,
+         case when source_size > 0 then floor(target)::bigint // source_size else 0 end as epochs,
+         sum(size) over (partition by docs.source order by key, doc_id, size rows unbounded preceding) - size as earlier
+  from docs join targets on docs.source is not distinct from targets.source)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3}
+    return {"op3_exact_dedup": OP3, "op10_mixing": OP10}
