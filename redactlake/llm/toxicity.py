@@ -102,7 +102,7 @@ class Grammar:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
 
 
-def learn_lexicon(rows: list[tuple[str, int]], least_texts: int = 4, least_weight: float = 2.5) -> dict[str, float]:
+def learn_lexicon(rows: list[tuple[str, int]], least_texts: int = 5, least_weight: float = 2.5) -> dict[str, float]:
     """Words and beginnings of words that toxic texts hold much more often. Near copies count as one text."""
     once: dict[tuple[int, int], set[str]] = {}
     for text, label in rows:
@@ -139,7 +139,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 30, ridge: float = 1e-2) -> Gr
         weights = np.zeros(size)
         weights[0] = 0 if not rows else 4 * (2 * labels[0] - 1)
         return Grammar({}, weights)
-    half = Grammar(learn_lexicon(rows[::2], 3), np.zeros(size))
+    half = Grammar(learn_lexicon(rows[::2], 4), np.zeros(size))
     x, y = np.array([half.features(text) for text, _ in rows[1::2]]), labels[1::2]
     weights = np.zeros(size)
     for _ in range(steps):  # Newton's method
@@ -163,7 +163,7 @@ def toxicity_scores(
 
     The lexicon and the weights are fitted in the driver on at most `fit_rows` labelled rows of at most `fit_bytes` bytes that
     aren't held out, and sent to the tasks (the lexicon has at most as many entries as those rows have beginnings of words
-    in four texts or more). Whole texts are scored; null and empty texts match nothing. Repeated rows get the same score; other
+    in five texts or more). Whole texts are scored; null and empty texts match nothing. Repeated rows get the same score; other
     columns have no part in it. An empty table gives no rows.
     """
     grammar = fit(fitting_rows(docs, labels, label, modulus, rest, fit_rows, fit_bytes))
