@@ -12,6 +12,7 @@ from redactlake.llm.exact_dedup import exact_groups
 from redactlake.llm.mixing import mix
 from redactlake.llm.packing import pack
 from redactlake.llm.quality_classifier import quality_scores
+from redactlake.llm.quality_rules import quality_rules
 from redactlake.llm.token_counts import token_counts
 from redactlake.llm.toxicity import toxicity_scores
 
@@ -37,6 +38,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality_result.*")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -52,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_toxicity,
         op5_packing,
         op6_quality_classifier,
+        op8_quality_rules,
         op9_token_counts,
         op10_mixing,
     ]
