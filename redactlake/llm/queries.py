@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from redactlake.llm.exact_dedup import exact_groups
 from redactlake.llm.mixing import mix
+from redactlake.llm.ngram_join import ngram_links
 from redactlake.llm.packing import pack
 from redactlake.llm.quality_classifier import quality_scores
 from redactlake.llm.quality_rules import quality_rules
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_links(table(spark, sf_dir, "documents"), length=3, percent=90)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
+        op1_ngram_join,
         op3_exact_dedup,
         op4_toxicity,
         op5_packing,
