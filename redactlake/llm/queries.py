@@ -14,6 +14,7 @@ from redactlake.llm.ngram_join import ngram_links
 from redactlake.llm.packing import pack
 from redactlake.llm.quality_classifier import quality_scores
 from redactlake.llm.quality_rules import quality_rules
+from redactlake.llm.suffix_dedup import repeated_passages
 from redactlake.llm.token_counts import token_counts
 from redactlake.llm.toxicity import toxicity_scores
 
@@ -26,6 +27,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_links(table(spark, sf_dir, "documents"), length=3, percent=90)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op1_ngram_join,
+        op2_suffix_dedup,
         op3_exact_dedup,
         op4_toxicity,
         op5_packing,
