@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redactlake.llm.chat_format import repaired_turns
 from redactlake.llm.exact_dedup import exact_groups
 from redactlake.llm.mixing import mix
 from redactlake.llm.ngram_join import ngram_links
@@ -48,6 +49,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality_result.*")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repaired_turns(table(spark, sf_dir, "conversations"))
+    return turns.withColumn("rendered_sha256", F.sha2("rendered", 256)).drop("rendered")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_toxicity,
         op5_packing,
         op6_quality_classifier,
+        op7_chat_format,
         op8_quality_rules,
         op9_token_counts,
         op10_mixing,
