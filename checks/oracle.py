@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from redactlake import fixed_values as fv
 from redactlake.plans import planted
-from redactlake.plans.queries import CALLS, ENTRIES, POLICY_JSON, WHITELIST
+from redactlake.plans.queries import CALLS, ENTRIES, POLICY_JSON, TOP_DOCUMENTS, WHITELIST
 
 
 BOUNDARY = r"\b"
@@ -15,16 +15,6 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def address_pattern() -> str:
-    """Plain form of the address pattern, without any of the shortcuts taken in the engine."""
-    by_length = lambda words: "|".join(sorted(words, key=lambda w: -len(w.encode())))
-    return (
-        rf"(?i)(?:(?:{by_length(fv.STREET_PREPOSITIONS)})\s+)?(?:[A-ZÄÖÜ][a-zäöüß]+(?:[-][A-ZÄÖÜ]?[a-zäöüß]+)*)[-\s]*"
-        rf"(?:{by_length(fv.STREET_SUFFIXES)})\.?\s+(?:\d+\s*[a-zA-Z]?(?:\s*/\s*\d+)?),?\s+(?:\d{{5}}|\d{{4}})\s+"
-        r"(?:[A-ZÄÖÜ][a-zäöüß]+(?:(?:\s+|-)[A-ZÄÖÜ]?[a-zäöüß]+){0,2})"
-    )
-
-
 def hits(name: str, source: str, pattern: str, needs: str = "true") -> str:
     """CTEs for all matches of a pattern: scan_id, i, text, start, cstart (bytes, characters), before, after.
 
@@ -169,7 +159,7 @@ def detectors(source: str, types: list[str]) -> tuple[str, str]:
             f"and c.start + strlen(c.text) <= h_dl.start + strlen(h_dl.text) + {reach})",
         )
     if wanted("ADDRESS"):
-        add("ADDRESS", "h_address", address_pattern(), 0.9, needs=r"regexp_matches(text, '\b\d{4,5}\b')")
+        add("ADDRESS", "h_address", fv.address_pattern(), 0.9, needs=r"regexp_matches(text, '\b\d{4,5}\b')")
     return ",\n".join(ctes), "\n  union all ".join(selects)
 
 
@@ -228,6 +218,14 @@ def whitelist_keep(tokens: list[str]) -> str:
     return " and ".join(f"not contains(lower(c.text), {lit(t)})" for t in cleaned if t)
 
 
+#: Texts with the placeholders of number 2 left in every fifth one.
+RESTORED = """
+select m.scan_id, case when j.scan_id is null then m.text else j.head || substr(m.text, j.cend + 1) end as restored_text
+from masked m left join (
+  select g.scan_id, string_agg(g.gap || case when g.scan_id % 5 = 0 and g.placeholder like '%|_2]' escape '|' then g.placeholder else p.text end,
+    '' order by g.slot) as head, max(g.cend) as cend
+  from gaps g join placed p on p.scan_id = g.scan_id and p.slot = g.slot group by g.scan_id) j on j.scan_id = m.scan_id"""
+
 FLAT = 'scan_id, pii_type, start, "end", text, confidence, rule_id'
 
 
@@ -308,17 +306,17 @@ segments as materialized (select request_id || ' body' as scan_id, request_id, '
 
 def policy_apply() -> str:
     """Per-request lists: candidates are kept if the policy of the request names their type and no token is in them."""
-    port = "8000 + (s.request_id // 1000) % 25"
+    port = "8000 + (s.request_id // 1000) % 27"
     segments = SEGMENTS.replace(
         "select request_id, body, case when body = ''",
-        "select request_id, body, case when body = '' then 'empty' when port < 8022 and (port - 8000) % 6 = 5 then 'dry_run' when body = ''",
-    ).replace("from bodies),\nmessages", "from (select *, 8000 + conv_id % 25 as port from bodies)),\nmessages")
+        "select request_id, body, case when body = '' then 'empty' when port < 8025 and (port - 8000) % 6 = 5 then 'dry_run' when body = ''",
+    ).replace("from bodies),\nmessages", "from (select *, 8000 + conv_id % 27 as port from bodies)),\nmessages")
     segments = segments.replace("from parsed where kind = 'text')", "from parsed where kind in ('text', 'dry_run'))")
     key = f"(select any_value({port}) from segments s where s.scan_id = c.scan_id)"
-    keep = f"""case when {key} >= 8022 then true when ({key} - 8000) % 5 = 0 then true when ({key} - 8000) % 5 = 1 then c.pii_type = 'EMAIL'
+    keep = f"""case when {key} >= 8025 then true when ({key} - 8000) % 5 = 0 then true when ({key} - 8000) % 5 = 1 then c.pii_type = 'EMAIL'
       when ({key} - 8000) % 5 = 2 then c.pii_type in ('IBAN', 'SECRET') when ({key} - 8000) % 5 = 3 then c.pii_type in ('PHONE', 'URL_SECRET', 'ADDRESS')
       else c.pii_type in ('EMAIL', 'KVNR') end
-    and not ({key} < 8022 and ({key} - 8000) % 2 = 0 and (contains(lower(c.text), 'firma1') or contains(lower(c.text), 'zürich')))"""
+    and not ({key} < 8025 and ({key} - 8000) % 2 = 0 and (contains(lower(c.text), 'firma1') or contains(lower(c.text), 'zürich')))"""
     select = SUMMARY_ROW.replace(
         "masked_bytes from", "case when kind = 'dry_run' then 0 else masked_bytes end::bigint as masked_bytes from"
     )
@@ -358,8 +356,10 @@ def src_policies() -> str:
     def strings(path: str, frm: str) -> str:
         return f"coalesce(array_to_string(json_extract_string({frm}, '{path}[*]'), ','), '')"
 
+    kind = "coalesce(case when json_valid(json) then json_type(json, '$.api_port') end, 'NULL')"
     return f"""with docs as (select c_custkey as doc_no, {POLICY_JSON} as json from customer),
-checked as (select *, json is null or json_valid(json) as valid, case when json_valid(json) then json::json end as root from docs),
+checked as (select *, json is null or (json_valid(json) and {kind} in ('UBIGINT', 'BIGINT', 'NULL')) as valid,
+  case when json_valid(json) and {kind} in ('UBIGINT', 'BIGINT', 'NULL') then json::json end as root from docs),
 listed as (select *, case when json_type(root) = 'ARRAY' then json_extract(root, '$[*]') else json_extract(root, '$.proxies[*]') end as ps from checked),
 policies as (
   select *, unnest(ps) as p, generate_subscripts(ps, 1) - 1 as policy_no from listed where len(ps) > 0
@@ -409,17 +409,17 @@ union all select conv_id, turn::int, role, 'text', text from conversations"""
         "string_agg(pii_type || ':' || start || ':' || \"end\" || ':' || placeholder, ' ' order by start) as findings from placed "
         "group by scan_id) f on f.scan_id = m.scan_id"
     )
-    out["anonymize"] = on_corpus("select scan_id, anonymised_text from masked", types=["EMAIL", "IBAN", "PHONE"])
+    out["anonymize"] = out["redact"]
     out["placeholder_map"] = on_corpus("select distinct scan_id, placeholder, text from placed")
-    # restoring gives the input back
-    out["restore"] = f"with {CORPUS} select scan_id, text as restored_text from corpus"
+    # restoring gives the input back, but for entries that are missing
+    out["restore"] = on_corpus(RESTORED)
     out["findings_report"] = on_corpus(
         "select scan_id, row_number() over (partition by scan_id order by start)::int as row_no, pii_type, text, placeholder, "
         "printf('%.0f%%', confidence * 100) as confidence from placed"
     )
     out["quarantine_invalid_utf8"] = (
         f"with {BODIES} select request_id, request_id % 7 = 0 as quarantined, case when request_id % 7 = 0 then '{fv.BINARY_PLACEHOLDER}' "
-        "else body end as body from bodies"
+        "else body end as body, case when request_id % 7 = 0 then hex(body) || 'C328' end as raw_hex from bodies"
     )
     user_turns = f"{TURNS},\nsegments as materialized (select request_id as scan_id, text from turns where role = 'user')"
     out["mask_user_messages"] = (
@@ -469,11 +469,37 @@ from entries group by rollup(source, path, status)"""
     out["sink_access_log"] = f"with {LINES} select {LOG_TEXT} as line from entries"
     out["sink_metrics"] = on_bodies(EXPOSITION).replace(EXPOSITION, f",\n{TYPE_ENTRIES}\nselect line from ({EXPOSITION})")
     out["stream_scan"] = out["sink_redacted"]
-    out["stream_sink"] = on_corpus("select scan_id, anonymised_text, n_findings as pii_found from masked")
+    out["stream_sink"] = on_corpus(
+        "select m.scan_id, m.anonymised_text, m.n_findings as pii_found, coalesce(f.pii_types, '') as pii_types, coalesce(f.placeholders, '') as "
+        "placeholders, f.last_end, f.n_findings, f.n_entries, f.vault_bytes from masked m left join (select scan_id, "
+        "array_to_string(list_sort(list_distinct(list(pii_type))), ',') as pii_types, array_to_string(list_sort(list_distinct(list(placeholder))), ',') "
+        'as placeholders, max("end") as last_end, count(*) as n_findings, count(distinct text) as n_entries, '
+        "(select sum(strlen(t))::bigint from (select distinct text as t from placed q where q.scan_id = p.scan_id)) as vault_bytes "
+        "from placed p group by scan_id) f on f.scan_id = m.scan_id"
+    )
     event_texts = f"corpus as materialized (select event_id as scan_id, ts, {planted.sentence('event_id')} as text from events)"
     out["stream_metrics"] = f"""with recursive {event_texts},\n{scan_ctes()}
-select date_trunc('hour', e.ts) as minute, p.pii_type, count(*) as n from placed p join corpus e on e.scan_id = p.scan_id
-where date_trunc('hour', e.ts) + interval 1 hour <= (select date_trunc('milliseconds', max(c.ts)) - interval 10 minute
-  from corpus c join placed q on q.scan_id = c.scan_id)
-group by 1, 2"""
+select date_trunc('minute', e.ts) as minute, p.pii_type, count(*) as n from placed p join corpus e on e.scan_id = p.scan_id group by 1, 2"""
+    out["corpus_pii_profile"] = on_corpus(
+        "select d.lang, p.pii_type, grouping(d.lang, p.pii_type)::int as level, count(*) as findings, count(distinct p.scan_id) as docs "
+        "from placed p join documents d on d.doc_id = p.scan_id group by cube(d.lang, p.pii_type)"
+    )
+    out["corpus_pseudonyms"] = on_corpus(
+        "select pii_type, text, '[' || pii_type || '_' || substr(sha256(pii_type || ':' || text), 1, 16) || ']' as pseudonym, "
+        "count(distinct scan_id) as docs from placed group by pii_type, text"
+    )
+    out["corpus_shared_values"] = on_corpus(
+        "select pii_type, text, count(distinct scan_id) as docs from placed group by pii_type, text having count(distinct scan_id) > 1"
+    )
+    out["corpus_top_docs"] = on_corpus(
+        f"select scan_id, count(*) as n_findings from placed group by scan_id order by n_findings desc, scan_id limit {TOP_DOCUMENTS}"
+    )
+    out["corpus_clean_split"] = on_corpus(
+        "select m.scan_id, m.n_findings = 0 as clean, l.quality, l.toxic from masked m left join labels l on l.doc_id = m.scan_id"
+    )
+    pages = f"""corpus as materialized (
+  select page_id || ' url' as scan_id, page_id, 'url' as part, concat(url, '?token=', substr(md5(url), 1, 12)) as text from pages
+  union all select page_id || ' html', page_id, 'html', concat(html, ' ', {planted.sentence('page_id')}) from pages)"""
+    out["scan_pages"] = f"""with recursive {pages},\n{scan_ctes()}
+select c.page_id, c.part, m.anonymised_text, m.n_findings from masked m join corpus c on c.scan_id = m.scan_id"""
     return out

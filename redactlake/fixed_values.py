@@ -132,3 +132,14 @@ UNICODE_SPACES = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+
+
+# --- the address pattern in its plain form, a fixed value like the patterns above; longest words first ------------------
+def address_pattern() -> str:
+    """For checks and tests; `functions/patterns.py` restates it for linear time."""
+    by_length = lambda words: "|".join(sorted(words, key=lambda w: -len(w.encode())))
+    return (
+        rf"(?i)(?:(?:{by_length(STREET_PREPOSITIONS)})\s+)?(?:[A-ZÄÖÜ][a-zäöüß]+(?:[-][A-ZÄÖÜ]?[a-zäöüß]+)*)[-\s]*"
+        rf"(?:{by_length(STREET_SUFFIXES)})\.?\s+(?:\d+\s*[a-zA-Z]?(?:\s*/\s*\d+)?),?\s+(?:\d{{5}}|\d{{4}})\s+"
+        r"(?:[A-ZÄÖÜ][a-zäöüß]+(?:(?:\s+|-)[A-ZÄÖÜ]?[a-zäöüß]+){0,2})"
+    )

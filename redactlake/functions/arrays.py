@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLOCK = 256
+_KEPT = 200
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,13 +20,15 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
     """Keep the expression that ``build`` returns for the same (hashable) arguments. Putting together a whole scan
-    takes thousands of calls into the JVM; expressions are immutable, so plans can share them."""
+    takes thousands of calls into the JVM; expressions are immutable, so plans can share them. The last _KEPT are kept."""
     kept: dict[tuple, Column] = {}
 
     @wraps(build)
     def get(*args) -> Column:
-        key = (id(SparkContext._active_spark_context), *args)
+        key = (SparkContext._active_spark_context.applicationId, *args)
         if key not in kept:
+            if len(kept) >= _KEPT:
+                del kept[next(iter(kept))]
             kept[key] = build(*args)
         return kept[key]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from redactlake.functions.arrays import bind, built_once, empty_array
@@ -13,33 +13,51 @@ _NODE = "struct<path:string,value:variant>"
 _FIELDS = "map<string,variant>"
 
 
-def json_document(body: Column) -> Column:
-    """The body as one JSON value, NULL if it is none.
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """JSON objects may repeat a key; the last one counts. Spark reads this from the session when it plans a query."""
+    spark.conf.set(REPEATED_KEYS, "true")
+
+
+def _proven(body: Column) -> tuple[Column, Column]:
+    """The body as first element of an array that ends in the body's own hash, and the hash.
 
-    The parser stops after the first value. The body is therefore wrapped into an array that ends in the body's own
-    hash: only if nothing else follows the value, the hash is found in second place.
+    A parser stops after the first value of a text; only if nothing else follows the body's value, the hash is in second
+    place.
     """
     proof = F.md5(body)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), proof, F.lit('"]')))
-    return F.when(
-        F.try_variant_get(wrapped, "$[1]", "string") == proof, F.try_variant_get(wrapped, "$[0]", "variant")
+    return F.concat(F.lit("["), body, F.lit(',"'), proof, F.lit('"]')), proof
+
+
+def json_document(body: Column) -> Column:
+    """The body as one JSON value, NULL if it is none."""
+    wrapped, proof = _proven(body)
+    return bind(
+        F.try_parse_json(wrapped),
+        lambda w: F.when(F.try_variant_get(w, "$[1]", "string") == proof, F.try_variant_get(w, "$[0]", "variant")),
     )
 
 
-def body_kind(body: Column) -> Column:
-    """empty, json (an object, or null) or text (anything else, valid JSON or not)."""
+def body_kind(body: Column, document: Column) -> Column:
+    """empty, json (an object, or null), text (anything else, valid JSON or not) or reject (an object in valid JSON that the
+    parser refuses for its size or depth). ``document``: the body's ``json_document``."""
     start = F.ltrim(body, F.lit(" \t\r\n"))
     objects = F.startswith(start, F.lit("{")) | F.startswith(start, F.lit("null"))
+    wrapped, proof = _proven(body)
+    refused = objects & document.isNull() & (F.get_json_object(wrapped, "$[1]") == proof)
     return (
         F.when(body.isNull() | (F.octet_length(body) == 0), "empty")
-        .when(objects & json_document(body).isNotNull(), "json")
+        .when(objects & document.isNotNull(), "json")
+        .when(refused, "reject")
         .otherwise("text")
     )
 
 
-def triage_kind(body: Column, dry_run: Column) -> Column:
+def triage_kind(body: Column, document: Column, dry_run: Column) -> Column:
     """As ``body_kind``, with dry_run for every body that is not empty where a dry run is asked for."""
-    return bind(body_kind(body), lambda k: F.when(dry_run & (k != "empty"), "dry_run").otherwise(k))
+    return bind(body_kind(body, document), lambda k: F.when(dry_run & (k != "empty"), "dry_run").otherwise(k))
 
 
 def _string(value: Column, path: str) -> Column:
@@ -154,10 +172,10 @@ def whole_body(body: Column) -> Column:
 
 
 @built_once
-def segments_of(body: str, kind: str) -> Column:
+def segments_of(body: str, kind: str, document: str) -> Column:
     """Texts to scan, by column names: those of user messages, or the whole body of raw text and dry runs."""
     return (
-        F.when(F.col(kind) == "json", bind(json_document(F.col(body)), message_segments))
+        F.when(F.col(kind) == "json", message_segments(F.col(document)))
         .when(F.col(kind).isin("text", "dry_run"), whole_body(F.col(body)))
         .otherwise(empty_array(SEGMENT))
     )

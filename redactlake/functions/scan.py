@@ -41,16 +41,17 @@ class ScanOptions:
 def findings_of(text: Column, options: ScanOptions = ScanOptions()) -> Column:
     """Findings of a text by start, with placeholders."""
     detectors, whitelist = options.detectors, options.whitelist
+    fixed = not isinstance(whitelist, str)
     if isinstance(detectors, str):
         detectors = F.col(detectors)
-    if isinstance(whitelist, str):
+    if not fixed:
         tokens = F.col(whitelist)
     else:
         cleaned = [t.lower().strip(fv.UNICODE_SPACES) for t in whitelist or ()]
         tokens = F.array(*[F.lit(t) for t in cleaned if t]) if any(cleaned) else None
 
     def settle(candidates: Column) -> Column:
-        kept = candidates if tokens is None else drop_whitelisted(candidates, tokens)
+        kept = candidates if tokens is None else drop_whitelisted(candidates, tokens, cleaned=fixed)
         return F.when(
             F.size(candidates) > 0, bind(kept, lambda k: assign_placeholders(resolve_overlaps(k)))
         ).otherwise(empty_array(FINDING))

@@ -23,33 +23,43 @@ def trimmed(token: Column) -> Column:
 
 
 def merge_whitelists(default: Column, requested: Column) -> Column:
-    """Default tokens, then requested ones: trimmed, blanks dropped, the first spelling of a token wins."""
+    """Default tokens, then requested ones: trimmed, blanks dropped, the first spelling of a token wins. Sorting brings the
+    spellings of a token together."""
     both = F.concat(
         F.coalesce(default, empty_array("string")), F.coalesce(requested, empty_array("string"))
     )
     tokens = F.filter(F.transform(both, trimmed), lambda t: t.isNotNull() & (t != ""))
+    keyed = F.sort_array(
+        F.transform(tokens, lambda t, i: F.struct(F.lower(t).alias("key"), i.alias("place"), t.alias("token")))
+    )
 
     def first_spellings(listed: Column) -> Column:
-        keys = F.transform(listed, F.lower)
-        return bind(keys, lambda k: F.filter(listed, lambda t, i: F.array_position(k, F.lower(t)) == i + 1))
+        firsts = F.filter(listed, lambda t, i: (i == 0) | (listed[i - 1]["key"] != t["key"]))
+        placed = F.transform(firsts, lambda t: F.struct(t["place"].alias("place"), t["token"].alias("token")))
+        return F.transform(F.sort_array(placed), lambda t: t["token"])
 
-    return bind(tokens, first_spellings)
+    return bind(keyed, first_spellings)
 
 
-def drop_whitelisted(candidates: Column, whitelist: Column) -> Column:
-    """Remove candidates whose text contains a token of the list, ignoring case."""
-    tokens = F.filter(
+def clean_tokens(whitelist: Column) -> Column:
+    """Tokens as they are looked for: trimmed, in lower case, without blank ones."""
+    return F.filter(
         F.transform(F.coalesce(whitelist, empty_array("string")), lambda t: trimmed(F.lower(t))),
         lambda t: t.isNotNull() & (t != ""),
     )
 
+
+def drop_whitelisted(candidates: Column, whitelist: Column, cleaned: bool = False) -> Column:
+    """Remove candidates whose text contains a token of the list, ignoring case. ``cleaned``: the tokens are already in the
+    form of ``clean_tokens``."""
+
     def remaining(listed: Column) -> Column:
         return F.filter(
             candidates,
-            lambda c: ~F.exists(listed, lambda t: F.contains(F.lower(c["text"]), t)),
+            lambda c: ~bind(F.lower(c["text"]), lambda low: F.exists(listed, lambda t: F.contains(low, t))),
         )
 
-    return bind(tokens, remaining)
+    return bind(whitelist if cleaned else clean_tokens(whitelist), remaining)
 
 
 def resolve_overlaps(candidates: Column) -> Column:

@@ -3,17 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-MAX_BROADCAST_ROWS = 100_000
-
-
-def small_enough(lookup: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Counts at most one row more than allowed."""
-    return lookup.limit(max_rows + 1).count() <= max_rows
 
 
 def with_lookup(df: DataFrame, lookup: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """Join with a lookup table that is normally small. It is broadcast if a count shows that it is; otherwise the
-    join shuffles, and adaptive execution splits partitions of frequent keys."""
-    return df.join(F.broadcast(lookup) if small_enough(lookup) else lookup, on, how)
+    """Join with a lookup table that is normally small. Spark broadcasts it if its size allows that, by estimate or at run time;
+    otherwise the join shuffles, and adaptive execution splits partitions of frequent keys."""
+    return df.join(lookup, on, how)

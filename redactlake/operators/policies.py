@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from redactlake.operators.joins import with_lookup
 from redactlake.operators.requests import mask_by_policy
 
+SETTINGS = ["detectors", "whitelist", "dry_run"]
 
-def apply_policies(requests: DataFrame, policies: DataFrame, body: str = "body") -> DataFrame:
+
+def one_per_port(policies: DataFrame, *order: str) -> DataFrame:
+    """One policy per port: the first one by the columns of ``order``, then by its settings."""
+    first = F.min(F.struct(*order, *SETTINGS)).alias("_first")
+    return policies.where("port is not null").groupBy("port").agg(first).select("port", *[f"_first.{c}" for c in SETTINGS])
+
+
+def apply_policies(requests: DataFrame, policies: DataFrame, body: str = "body", order: tuple[str, ...] = ()) -> DataFrame:
     """Mask each request by the policy of its port; a policy may also ask for a dry run.
 
-    ``requests``: port and a body; ``policies``: one row per port with detectors, whitelist, dry_run. Requests without
-    a policy run all detectors with an empty whitelist. Policies are keyed by a 16-bit port, so they stay small.
+    ``requests``: port and a body; ``policies``: port, detectors, whitelist, dry_run. Of several policies for a port the first
+    one by ``order`` counts, so that no request is doubled. Requests without a policy run all detectors with an empty
+    whitelist. Policies are keyed by a 16-bit port, so they stay small.
     """
-    joined = with_lookup(requests, policies.select("port", "detectors", "whitelist", "dry_run"), "port")
-    return mask_by_policy(joined, body).drop("detectors", "whitelist", "dry_run")
+    joined = with_lookup(requests, one_per_port(policies, *order), "port")
+    return mask_by_policy(joined, body).drop(*SETTINGS)

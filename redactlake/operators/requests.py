@@ -2,53 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactlake import fixed_values as fv
 from redactlake.functions.arrays import empty_array
-from redactlake.functions.bodies import body_kind, scan_segments, segments_of, triage_kind
+from redactlake.functions.bodies import (
+    allow_repeated_keys,
+    body_kind,
+    json_document,
+    scan_segments,
+    segments_of,
+    triage_kind,
+)
 from redactlake.functions.scan import ScanOptions, column_findings
 from redactlake.functions.spans import FINDING, mask, merge_whitelists
 from redactlake.operators.scans import FINDING_COLUMNS, explode_array
 
 
+DOCUMENT = "_document"
+
+
+def _parsed(df: DataFrame, body: str) -> DataFrame:
+    """With the body's JSON value, parsed once for its kind and its texts."""
+    allow_repeated_keys(df.sparkSession)
+    return df.withColumn(DOCUMENT, json_document(F.col(body)))
+
+
 def triage(df: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``kind``: empty, json or text."""
-    return df.withColumn("kind", body_kind(F.col(body)))
+    """Add ``kind``: empty, json, text or reject. Objects may repeat keys, of which the last counts; for that, the session's
+    setting for repeated keys is switched on."""
+    return _parsed(df, body).withColumn("kind", body_kind(F.col(body), F.col(DOCUMENT))).drop(DOCUMENT)
 
 
 def quarantine(df: DataFrame, body: str = "body") -> DataFrame:
-    """Split off bodies (binary) that are no UTF-8: they stay unscanned under a placeholder."""
+    """Split off bodies (binary) that are no UTF-8: they stay unscanned under a placeholder, their bytes in ``raw``."""
     text = F.col(body).cast("string")
     valid = F.is_valid_utf8(text)
-    return df.withColumn("quarantined", ~valid).withColumn(
-        body, F.when(valid, text).otherwise(F.lit(fv.BINARY_PLACEHOLDER))
+    return (
+        df.withColumn("quarantined", ~valid)
+        .withColumn("raw", F.when(~valid, F.col(body)))
+        .withColumn(body, F.when(valid, text).otherwise(F.lit(fv.BINARY_PLACEHOLDER)))
     )
 
 
-def _scan(with_kind: DataFrame, body: str, options: ScanOptions) -> DataFrame:
+def _scan(df: DataFrame, body: str, options: ScanOptions, kind: Callable[[Column], Column]) -> DataFrame:
     return (
-        with_kind.withColumn("segments", segments_of(body, "kind"))
+        _parsed(df, body)
+        .withColumn("kind", kind(F.col(DOCUMENT)))
+        .withColumn("segments", segments_of(body, "kind", DOCUMENT))
         .withColumn("scans", scan_segments("segments", options))
-        .drop("segments")
+        .drop("segments", DOCUMENT)
     )
 
 
 def mask_bodies(df: DataFrame, body: str = "body", options: ScanOptions = ScanOptions()) -> DataFrame:
     """Add ``kind`` and ``scans``: path, text, masked text and findings of every segment. No shuffle."""
-    return _scan(triage(df, body), body, options)
+    return _scan(df, body, options, lambda document: body_kind(F.col(body), document))
 
 
 def dry_run(df: DataFrame, body: str = "body", options: ScanOptions = ScanOptions()) -> DataFrame:
     """Scan whole bodies as they are, JSON syntax and all roles included, and change nothing."""
-    return _scan(df.withColumn("kind", triage_kind(F.col(body), F.lit(True))), body, options)
+    return _scan(df, body, options, lambda document: triage_kind(F.col(body), document, F.lit(True)))
 
 
 def mask_by_policy(df: DataFrame, body: str = "body") -> DataFrame:
     """As ``mask_bodies``, with the lists of each row in detectors and whitelist and its dry_run flag."""
-    kind = triage_kind(F.col(body), F.coalesce(F.col("dry_run"), F.lit(False)))
-    return _scan(df.withColumn("kind", kind), body, ScanOptions("detectors", "whitelist"))
+    asked = F.coalesce(F.col("dry_run"), F.lit(False))
+    options = ScanOptions("detectors", "whitelist")
+    return _scan(df, body, options, lambda document: triage_kind(F.col(body), document, asked))
 
 
 def masked_segments(masked: DataFrame, key: str = "request_id") -> DataFrame:

@@ -13,27 +13,40 @@ _ENDS = "(?=\\[(?:{0})_[0-9]+\\])|(?<=\\[(?:{0})_[0-9]{{1,10}}\\])".format("|".j
 
 
 def _original(placeholder: Column, vault: Column) -> Column:
-    """Placeholders of a type are numbered from 1, so the vault holds one array per type and a look-up is direct."""
-    texts = vault[F.regexp_extract(placeholder, PLACEHOLDER_PATTERN, 1)]
+    """The text behind a placeholder. A complete vault of a type holds number n in place n, so that the look-up is direct; if
+    entries are missing, the type's list is searched for the number."""
+    entries = vault[F.regexp_extract(placeholder, PLACEHOLDER_PATTERN, 1)]
     number = F.regexp_extract(placeholder, PLACEHOLDER_PATTERN, 2).try_cast("int")
-    return F.coalesce(F.get(texts, number - 1), placeholder)
+    direct = F.get(entries, number - 1)
+    searched = F.get(F.filter(entries, lambda e: e["n"] == number), F.lit(0))
+    return F.coalesce(F.when(direct["n"] == number, direct["text"]).otherwise(searched["text"]), placeholder)
+
+
+def _by_type(entries: Column) -> Column:
+    """Sorted distinct (type, n, text) as a map from type to its (n, text) by n; of two texts with one number the first."""
+    single = F.filter(
+        entries,
+        lambda e, i: (i == 0) | (entries[i - 1]["type"] != e["type"]) | (entries[i - 1]["n"] != e["n"]),
+    )
+    types = F.array_distinct(F.transform(entries, lambda e: e["type"]))
+    return F.map_from_arrays(types, F.transform(types, lambda t: F.filter(single, lambda e: e["type"] == t)))
 
 
 def restore(redacted: DataFrame, mapping: DataFrame, key: str = "scan_id") -> DataFrame:
     """Put the texts back: key, restored_text. Placeholders that the vault does not know stay.
 
-    Only texts that hold a placeholder are joined; all others go through without a shuffle.
+    The vault may lack entries, repeat them and come in any order. Only texts that hold a placeholder are joined; all
+    others go through without a shuffle. A scan's vault is as large as its findings at most.
     """
     holds = F.col("anonymised_text").rlike(PLACEHOLDER_PATTERN)
-    kind = F.regexp_extract("placeholder", PLACEHOLDER_PATTERN, 1)
-    number = F.regexp_extract("placeholder", PLACEHOLDER_PATTERN, 2).cast("int")
-    # per scan and type the texts by number; a scan's vault is as large as its findings at most
-    per_type = (
-        mapping.groupBy(key, kind.alias("_type"))
-        .agg(F.sort_array(F.collect_list(F.struct(number.alias("n"), F.col("text").alias("text")))).alias("_texts"))
-        .withColumn("_texts", F.transform("_texts", lambda t: t["text"]))
+    entry = F.struct(
+        F.regexp_extract("placeholder", PLACEHOLDER_PATTERN, 1).alias("type"),
+        F.regexp_extract("placeholder", PLACEHOLDER_PATTERN, 2).try_cast("int").alias("n"),
+        F.col("text").alias("text"),
     )
-    vaults = per_type.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_type", "_texts"))).alias("_vault"))
+    known = mapping.where(F.col("placeholder").rlike(PLACEHOLDER_PATTERN))
+    vaults = known.groupBy(key).agg(F.sort_array(F.collect_set(entry)).alias("_entries"))
+    vaults = vaults.select(key, _by_type(F.col("_entries")).alias("_vault"))
 
     text = F.col("anonymised_text")
     pieces = F.transform(

@@ -6,20 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactlake.functions.scan import ScanOptions, column_candidates, column_findings
-from redactlake.functions.spans import mapping_of, mask
+from redactlake.functions.spans import clean_tokens, mapping_of, mask
 
 FINDING_COLUMNS = ["pii_type", "start", "end", "text", "confidence", "placeholder", "rule_id"]
 
 
+#: An input is spread over the cores only if it has this many times fewer splits than there are cores.
+FEW_SPLITS = 4
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over all cores. Inputs that already have a partition per core stay as they are, so a large
-    corpus is never shuffled. Meant for tables straight from files; streams are left alone."""
+    """Spread a small input over all cores. An input with more than a quarter as many splits as cores stays as it is, so
+    that a large corpus is never shuffled. Meant for tables straight from files; streams are left alone."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     # one small file can come as several splits with all rows in one of them
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores, *keys) if splits <= cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() * FEW_SPLITS <= cores else df
+
+
+def with_whitelist(df: DataFrame, tokens: DataFrame, on: str, name: str = "whitelist") -> DataFrame:
+    """Add the tokens of a table (``on``, token) as an array column, for ``ScanOptions(whitelist=name)``. Tokens are cleaned once
+    per list; rows without a list get none. A list is as long as one row may be."""
+    cleaned = tokens.select(on, F.explode(clean_tokens(F.array("token"))).alias("_token"))
+    lists = cleaned.groupBy(on).agg(F.array_sort(F.collect_set("_token")).alias(name))
+    return df.join(lists, on, "left")
 
 
 def explode_array(df: DataFrame, array: str, keep: list[str], fields: list[str]) -> DataFrame:

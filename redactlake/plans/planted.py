@@ -62,8 +62,8 @@ def sentence(k: str) -> str:
         f"'E und B ', {_letter(k)}, 'X ', {k} % 900 + 10)",
         f"concat('Führerscheinnummer: ', 'ab ', 'KX', {_digits(f'({k} * 9176) % 1000000', 6)}, 'Q', {k} % 10, ' und ', {code}, '.')",
         f"concat('Fahrerlaubnis ', repeat('ü', cast(80 + {k} % 40 as int)), ' BCD', {_digits(f'({k} * 13) % 1000000', 6)}, 'X1 ab')",
-        f"concat('Ich wohne in der Breisacher Str. ', {k} % 99 + 1, 'A, ', {_digits(f'79000 + {k} % 999', 5)}, "
-        f"' Vörstetten und meine Email ist ', {email})",
+        f"concat('Lieferung an Lindenhof Str. ', {k} % 99 + 1, 'B, ', {_digits(f'54000 + {k} % 999', 5)}, "
+        f"' Übersee, Rückfragen per Mail an ', {email})",
         f"concat('kim Bahnhofstrasse ', {k} % 50 + 1, ' / 3, 8001 Zürich; Mariahilfer - Straße ', {k} % 70 + 1, "
         f"' , 1070 Wien-Neubau')",
         f"concat('key=AKIA', upper(substr({_hash(k)}, 1, 16)), ' ghp_', substr(concat({_hash(k)}, {_hash(k)}), 1, 36), "
@@ -116,7 +116,7 @@ BODY_PARTS = [
 
 
 def _body() -> str:
-    """A request body per turn, in one of ten layouts."""
+    """A request body per turn, in one of eleven layouts."""
     system = '{"system": "Contact support@example.com", "messages": ['
     opening = f"concat('{system}', '{{\"role\": \"assistant\", \"content\": \"ask boss@example.com\"}}, "
 
@@ -141,6 +141,8 @@ def _body() -> str:
         # a string that looks like a list of blocks
         message("concat(chr(34), '[{', substr(said, 2, length(said) - 2), '}]', chr(34))"),
         "concat('{\"messages\": ', said, ', ', text)",
+        # a repeated key
+        "concat('{\"model\": \"a\", \"model\": \"b\", \"messages\": [{\"role\": \"user\", \"content\": ', said, '}]}')",
     ]
     whens = " ".join(f"when {i} then {c}" for i, c in enumerate(cases))
     return f"case cast(request_id % {len(cases)} as int) {whens} end"

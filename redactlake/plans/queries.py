@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from redactlake import fixed_values as fv
 from redactlake.functions import spans
 from redactlake.functions.scan import ScanOptions
-from redactlake.operators import logs, metrics, requests, scans, traffic
+from redactlake.operators import corpus, logs, metrics, requests, scans, traffic
 from redactlake.operators.policies import apply_policies
 from redactlake.operators.restore import restore as restore_texts
 from redactlake.plans import planted
@@ -90,7 +90,7 @@ def src_policies(spark, sf_dir):
     )
 
 
-POLICY_JSON = """case cast(c_custkey % 6 as int)
+POLICY_JSON = """case cast(c_custkey % 9 as int)
  when 0 then concat('{"api_port": ', 9000 + c_custkey % 50, ', "default_detectors": ["EMAIL"], "proxies": [{"type": "chat", "port": ',
    9800 + c_custkey % 90, ', "upstream": "https://up.example.com", "guard": {"url": "", "detectors": ["EMAIL", "PHONE"], "whitelist": ["w',
    c_custkey, '"], "dry_run": true}}, {"type": "mail", "port": 9700, "upstream": "", "guard": {"detectors": [], "whitelist": []}}]}')
@@ -98,6 +98,10 @@ POLICY_JSON = """case cast(c_custkey % 6 as int)
  when 2 then concat('[{"type": "old", "port": ', 9600 + c_custkey % 70, ', "upstream": "u", "guard": {"detectors": ["IBAN"], "whitelist": []}}]')
  when 3 then '{not valid json'
  when 4 then concat('{"api_port": 1} {', c_custkey, '}')
+ when 5 then concat('{"proxies": [{"type": "decoy", "a_meta": {"x": 1}, "port": ', 9500 + c_custkey % 40,
+   ', "guard": {"detectors": ["PHONE"], "whitelist": ["v", "w"], "dry_run": true}}]}')
+ when 6 then concat('{"api_port": "x", "proxies": [{"type": "chat", "port": ', c_custkey, '}]}')
+ when 7 then 'null'
  end"""
 
 # --- detectors -------------------------------------------------------------------------------------------------
@@ -184,7 +188,7 @@ def scan_full(spark, sf_dir):
 
 @query
 def anonymize(spark, sf_dir):
-    return scans.anonymize(planted.corpus(spark, sf_dir), options=ScanOptions(detectors=["EMAIL", "IBAN", "PHONE"]))
+    return scans.anonymize(planted.corpus(spark, sf_dir))
 
 
 @query
@@ -194,11 +198,15 @@ def placeholder_map(spark, sf_dir):
 
 @query
 def restore(spark, sf_dir):
-    # one scan, written once; masked texts and vault are read from it
+    """Every fifth document's vault lacks the entries with number 2."""
+    # one scan, written once; masked texts and vault are read from it, and the texts in clear are removed again
     path = sinks.shared_dir(spark, "restore")
-    _scanned(spark, sf_dir).select("scan_id", "anonymised_text", "findings").write.parquet(path)
-    scanned = spark.read.parquet(path)
-    return restore_texts(scanned.select("scan_id", "anonymised_text"), scans.placeholder_map(scanned))
+    _scanned(spark, sf_dir).select("scan_id", "anonymised_text", "findings").write.parquet(f"{path}/scan")
+    scanned = spark.read.parquet(f"{path}/scan")
+    vault = scans.placeholder_map(scanned).where("scan_id % 5 <> 0 or placeholder not like '%|_2]' escape '|'")
+    restore_texts(scanned.select("scan_id", "anonymised_text"), vault).write.parquet(f"{path}/restored")
+    sinks.remove(spark, f"{path}/scan")
+    return spark.read.parquet(f"{path}/restored")
 
 
 @query
@@ -231,7 +239,8 @@ def quarantine_invalid_utf8(spark, sf_dir):
         .otherwise(F.encode("body", "utf-8"))
         .alias("body"),
     )
-    return requests.quarantine(raw).select("request_id", "quarantined", "body")
+    split = requests.quarantine(raw)
+    return split.select("request_id", "quarantined", "body", F.hex("raw").alias("raw_hex"))
 
 
 @query
@@ -291,13 +300,13 @@ POLICIES = """select 8000 + n_nationkey as port,
   when 2 then array('iban', 'SECRET') when 3 then array('PHONE', 'URL_SECRET', 'ADDRESS') else array('EMAIL', 'KVNR') end as detectors,
  case when n_nationkey % 2 = 0 then array('firma1', 'ZÜRICH') else cast(array() as array<string>) end as whitelist,
  n_nationkey % 6 = 5 as dry_run
- from {nation} where n_nationkey < 22"""
+ from {nation}"""
 
 
 @query
 def policy_apply(spark, sf_dir):
     policies = spark.sql(POLICIES, nation=planted.read(spark, sf_dir, "nation"))
-    bodies = planted.bodies(spark, sf_dir).withColumn("port", (8000 + F.col("conv_id") % 25).cast("int"))
+    bodies = planted.bodies(spark, sf_dir).withColumn("port", (8000 + F.col("conv_id") % 27).cast("int"))
     return _flat_summary(apply_policies(bodies, policies.withColumn("port", F.col("port").cast("int"))))
 
 
@@ -485,27 +494,86 @@ def stream_scan(spark, sf_dir):
 def stream_metrics(spark, sf_dir):
     events = jobs.read_stream(spark, sf_dir, "events.parquet")
     texts = events.selectExpr("cast(ts as timestamp) as ts", f"{planted.sentence('event_id')} as text")
-    counts = jobs.findings_per_minute(jobs.scan_stream(texts), size="1 hour")
-    return _finished(spark, counts, "stream-metrics")
+    path = sinks.shared_dir(spark, "stream-metrics")
+    jobs.write_counts(texts, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return jobs.read_counts(spark, f"{path}/out")
 
 
 @query
 def stream_rate(spark, sf_dir):
-    jobs_source = jobs.read_stream(spark, sf_dir, "events.parquet")
-    jobs_source.createOrReplaceTempView("redactlake_event_stream")
-    calls = spark.sql(BURST.replace("{events}", "redactlake_event_stream"))
+    calls = spark.sql(BURST, events=jobs.read_stream(spark, sf_dir, "events.parquet"))
     return _finished(spark, jobs.admit_stream(calls), "stream-rate").select("seq", "rate_key", "admitted")
 
 
 @query
 def stream_sink(spark, sf_dir):
-    path = sinks.shared_dir(spark, "stream-sink")
-    jobs.write_all_sinks(_stream_corpus(spark, sf_dir), f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    redacted = spark.read.parquet(f"{path}/out/redacted").drop("batch")
-    summary = spark.read.parquet(f"{path}/out/summary").drop("batch")
-    return redacted.join(summary, "scan_id").select(
-        "scan_id", "anonymised_text", F.col("pii_found").cast("bigint").alias("pii_found")
+    path, vault = sinks.shared_dir(spark, "stream-sink"), sinks.shared_dir(spark, "stream-vault")
+    jobs.write_all_sinks(_stream_corpus(spark, sf_dir), f"{path}/out", vault, f"{path}/checkpoint").awaitTermination()
+    read = {name: spark.read.parquet(f"{path}/out/{name}").drop("batch") for name in ("redacted", "summary", "findings")}
+    last = read["findings"].groupBy("scan_id").agg(F.max("end").alias("last_end"), F.count("*").alias("n_findings"))
+    secrets = spark.read.parquet(vault).groupBy("scan_id").agg(
+        F.count("*").alias("n_entries"), F.sum(F.octet_length("text")).alias("vault_bytes")
     )
+    joined = read["redacted"].join(read["summary"], "scan_id").join(last, "scan_id", "left").join(secrets, "scan_id", "left")
+    return joined.select(
+        "scan_id",
+        "anonymised_text",
+        "pii_found",
+        F.array_join("pii_types", ",").alias("pii_types"),
+        F.array_join("placeholders", ",").alias("placeholders"),
+        "last_end",
+        "n_findings",
+        "n_entries",
+        "vault_bytes",
+    )
+
+
+# --- the corpus as a whole -------------------------------------------------------------------------------------
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.explode_findings(_scanned(spark, sf_dir)).select("scan_id", "pii_type", "text")
+
+
+@query
+def corpus_pii_profile(spark, sf_dir):
+    groups = planted.read(spark, sf_dir, "documents").selectExpr("doc_id as scan_id", "lang")
+    return corpus.profile(_findings(spark, sf_dir), groups, "lang")
+
+
+@query
+def corpus_pseudonyms(spark, sf_dir):
+    return corpus.pseudonyms(_findings(spark, sf_dir))
+
+
+@query
+def corpus_shared_values(spark, sf_dir):
+    return corpus.shared_values(_findings(spark, sf_dir))
+
+
+@query
+def corpus_top_docs(spark, sf_dir):
+    return corpus.top_documents(_findings(spark, sf_dir), TOP_DOCUMENTS)
+
+
+TOP_DOCUMENTS = 20
+
+
+@query
+def corpus_clean_split(spark, sf_dir):
+    labels = planted.read(spark, sf_dir, "labels").selectExpr("doc_id as scan_id", "quality", "toxic")
+    return corpus.clean_split(_scanned(spark, sf_dir), labels)
+
+
+@query
+def scan_pages(spark, sf_dir):
+    """Secrets in the addresses of web pages, and everything in their HTML."""
+    pages = planted.read(spark, sf_dir, "pages")
+    texts = pages.selectExpr("page_id", "'url' as part", "concat(url, '?token=', substr(md5(url), 1, 12)) as text").unionByName(
+        pages.selectExpr("page_id", "'html' as part", f"concat(html, ' ', {planted.sentence('page_id')}) as text")
+    )
+    scanned = scans.scan_texts(texts)
+    return scanned.select("page_id", "part", "anonymised_text", F.size("findings").cast("bigint").alias("n_findings"))
 
 
 def queries() -> dict[str, Query]:

@@ -7,26 +7,34 @@ from pyspark.sql import functions as F
 
 from redactlake import fixed_values as fv
 
-LINE = (
-    r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)  (\S+) +(.*?) +(\d+)  +(\d+) B  pii=(\d+)(?: \[(.*)\])?$"
-)
+#: Anchored, without parts that could be matched in several ways: a line is walked once from its start to its path and once
+#: from its end (as the reversed line) back to it, whatever its path holds.
+HEAD = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d  (\S++) "
+REVERSED_TAIL = r"^(?:\]([^\[\]]*+)\[ )?+(\d++)=iip  B (\d++) {2,}+(\d++) "
+TIME_CHARS = 19
 
 
 def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
     """Typed fields of each line; all NULL where a line has another layout."""
-    fields = [F.regexp_extract(line, LINE, i) for i in range(1, 8)]
-    known = F.col(line).rlike(LINE)
-    ts, method, path, status, size, count, types = fields
+    split = lines.select(
+        "*",
+        F.regexp_extract(line, HEAD, 0).alias("_head"),
+        F.reverse(F.regexp_extract(F.reverse(line), REVERSED_TAIL, 0)).alias("_tail"),
+    )
+    middle = F.char_length(line) - F.char_length("_head") - F.char_length("_tail")
+    known = (F.col("_head") != "") & (F.col("_tail") != "") & (middle >= 0)
+    back = F.reverse("_tail")
+    types, count, size, status = (F.reverse(F.regexp_extract(back, REVERSED_TAIL, i)) for i in range(1, 5))
     typed = {
-        "ts": F.try_to_timestamp(ts, F.lit(fv.LOG_TIME_FORMAT)),
-        "method": method,
-        "path": path,
+        "ts": F.try_to_timestamp(F.substring("_head", 1, TIME_CHARS), F.lit(fv.LOG_TIME_FORMAT)),
+        "method": F.regexp_extract("_head", HEAD, 1),
+        "path": F.btrim(F.substring(F.col(line), F.char_length("_head") + 1, middle), F.lit(" ")),
         "status": status.try_cast("int"),
         "resp_bytes": size.try_cast("bigint"),
         "pii_count": count.try_cast("int"),
         "pii_types": F.when(types == "", F.array().cast("array<string>")).otherwise(F.split(types, ",")),
     }
-    return lines.select("*", *[F.when(known, value).alias(name) for name, value in typed.items()])
+    return split.select(*lines.columns, *[F.when(known, value).alias(name) for name, value in typed.items()])
 
 
 def format_log(entries: DataFrame) -> DataFrame:

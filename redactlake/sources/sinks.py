@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from redactlake.operators.scans import explode_findings, placeholder_map
 
 
+#: Spreads a frequent type over this many tasks and files.
+FILES_PER_TYPE = 64
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared one that the session names in spark.checkpoint.dir. Only a local session without
     that setting may use a temporary folder of the machine."""
@@ -23,9 +27,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def write_findings(scanned: DataFrame, path: str, key: str = "scan_id", text: bool = True) -> None:
-    """Findings, in one folder per type."""
+    """Findings, in one folder per type, of at most FILES_PER_TYPE files each."""
     rows = explode_findings(scanned, key)
-    (rows if text else rows.drop("text")).write.mode("append").partitionBy("pii_type").parquet(path)
+    rows = rows if text else rows.drop("text")
+    dealt = rows.repartition("pii_type", F.pmod(F.xxhash64(key), F.lit(FILES_PER_TYPE)))
+    dealt.write.mode("append").partitionBy("pii_type").parquet(path)
 
 
 def write_redacted(scanned: DataFrame, path: str, key: str = "scan_id") -> None:
@@ -42,3 +48,9 @@ def write_mapping(scanned: DataFrame, path: str, key: str = "scan_id") -> None:
 def write_metrics(exposition: DataFrame, path: str) -> None:
     """Counter lines as one text file; the rows are a handful of totals."""
     exposition.orderBy("line_no").select("value").coalesce(1).write.mode("append").text(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that holds texts in clear, once it isn't read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from redactlake import fixed_values as fv
 from redactlake.functions.scan import ScanOptions
-from redactlake.operators.scans import explode_findings, placeholder_map, scan_texts, spread
+from redactlake.operators.scans import explode_array, explode_findings, placeholder_map, scan_texts, spread
 
 
 def read_stream(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:
@@ -21,13 +22,17 @@ def read_stream(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
 
 
-def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append to parquet files, exactly once, until the input there is now is used up."""
+#: Default trigger: until the input that is there now is used up. ``{"processingTime": "10 seconds"}`` runs on.
+DRAIN = {"availableNow": True}
+
+
+def write_stream(df: DataFrame, path: str, checkpoint: str, trigger: dict = DRAIN) -> StreamingQuery:
+    """Append to parquet files, exactly once."""
     return (
         df.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -44,6 +49,7 @@ def write_scan(
     select: Callable[[DataFrame], DataFrame],
     text: str = "text",
     options: ScanOptions = ScanOptions(),
+    trigger: dict = DRAIN,
 ) -> StreamingQuery:
     """Mask a stream batch by batch, so that a batch made of one small file is spread over all cores.
 
@@ -54,22 +60,50 @@ def write_scan(
         scanned = scan_texts(spread(batch), text, options)
         select(scanned).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return _each_batch(texts, write, checkpoint)
+    return _each_batch(texts, write, checkpoint, trigger)
 
 
-def _each_batch(texts: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def _each_batch(
+    texts: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict
+) -> StreamingQuery:
     return (
-        texts.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
+def write_counts(
+    texts: DataFrame,
+    path: str,
+    checkpoint: str,
+    ts: str = "ts",
+    text: str = "text",
+    options: ScanOptions = ScanOptions(),
+    trigger: dict = DRAIN,
+) -> StreamingQuery:
+    """Findings per type and minute of event time, as one set of partial counts per batch; ``read_counts`` adds them up.
+
+    A batch overwrites its own folder when it is repeated, so each text counts once. There is no state and no watermark:
+    the last minutes are complete, and texts that come late count in their minute however late they are.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        found = explode_array(scan_texts(spread(batch), text, options), "findings", [ts], ["pii_type"])
+        counts = found.groupBy(F.date_trunc("minute", ts).alias("minute"), "pii_type").agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _each_batch(texts, write, checkpoint, trigger)
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """minute, pii_type, n over all batches of ``write_counts`` so far."""
+    return spark.read.parquet(path).groupBy("minute", "pii_type").agg(F.sum("n").alias("n"))
+
+
 def findings_per_minute(
     scanned: DataFrame, ts: str = "ts", lateness: str = "10 minutes", size: str = "1 minute"
 ) -> DataFrame:
-    """Findings per type and minute of event time; rows that come later than allowed are dropped."""
+    """Findings per type and window of event time for sinks that append. A window comes out when the watermark has passed it, and
+    rows that come later than ``lateness`` are dropped; ``write_counts`` has neither limit."""
     rows = (
         scanned.select(ts, F.explode_outer("findings").alias("f"))
         .where(F.col("f").isNotNull())
@@ -89,13 +123,14 @@ def admit_stream(
     ts: str = "ts",
     seq: str = "seq",
     limit: int = fv.CALLS_PER_MINUTE,
-    lateness: str = "10 minutes",
+    keep_ms: int = 600_000,
 ) -> DataFrame:
     """Admit the first ``limit`` calls of a key and minute in order of arrival: rate_key, ts, seq, admitted.
 
     The state of a key and minute is the number of calls admitted so far. Within a batch at most ``limit`` calls are
-    held back while a group is read in chunks, so a busy key needs no more memory than others. State goes when the
-    watermark has passed the minute.
+    held back while a group is read in chunks, so a busy key needs no more memory than others. Every call gets a verdict,
+    late ones too: the watermark follows the time of arrival, and state goes when its key and minute had no call for ``keep_ms``
+    of clock time. Minutes are whole numbers, so that the session's time zone has no part in them.
     """
 
     def decide(
@@ -111,19 +146,22 @@ def admit_stream(
             pool = chunk if first is None else pd.concat([first, chunk], ignore_index=True)
             pool = pool.sort_values(["ts", "seq"], kind="stable")
             first = pool.iloc[:room]
-            yield pool.iloc[room:][["rate_key", "ts", "seq"]].assign(admitted=False)
-        if first is not None:
+            if len(pool) > room:
+                yield pool.iloc[room:][["rate_key", "ts", "seq"]].assign(admitted=False)
+        if first is not None and len(first):
             yield first[["rate_key", "ts", "seq"]].assign(admitted=True)
             used += len(first)
         state.update((used,))
-        minute_end = int(pd.Timestamp(group[1]).timestamp() * 1000) + 60_000
-        state.setTimeoutTimestamp(max(minute_end, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(time.time() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
 
     rows = calls.select(
-        F.col(key).alias("rate_key"), F.col(ts).alias("ts"), F.col(seq).cast("bigint").alias("seq")
-    ).withWatermark("ts", lateness)
+        F.col(key).alias("rate_key"),
+        F.col(ts).alias("ts"),
+        F.col(seq).cast("bigint").alias("seq"),
+        F.current_timestamp().alias("arrived"),
+    ).withWatermark("arrived", "1 minute")
     return (
-        rows.withColumn("minute", F.date_trunc("minute", "ts"))
+        rows.withColumn("minute", F.floor(F.unix_seconds("ts") / 60))
         .groupBy("rate_key", "minute")
         .applyInPandasWithState(
             decide,
@@ -136,26 +174,34 @@ def admit_stream(
 
 
 def write_all_sinks(
-    texts: DataFrame, path: str, checkpoint: str, text: str = "text", key: str = "scan_id",
-    options: ScanOptions = ScanOptions(),
+    texts: DataFrame, path: str, vault: str, checkpoint: str, text: str = "text", key: str = "scan_id",
+    options: ScanOptions = ScanOptions(), trigger: dict = DRAIN,
 ) -> StreamingQuery:
-    """Findings, masked texts, vault and summaries from one scan of each batch.
+    """Findings, masked texts and summaries below ``path`` and the vault below ``vault``, from one scan of each batch. The vault
+    holds what was masked and belongs to a place of its own.
 
     Every batch has a folder of its own that a repeated batch overwrites, so each text counts once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         scanned = scan_texts(spread(batch), text, options).persist()
+        types = F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["pii_type"])))
+        placeholders = F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["placeholder"])))
         try:
             outputs = {
-                "findings": explode_findings(scanned, key).drop("text"),
-                "redacted": scanned.select(key, "anonymised_text"),
-                "mapping": placeholder_map(scanned, key),
-                "summary": scanned.select(key, F.size("findings").alias("pii_found")),
+                f"{path}/findings": explode_findings(scanned, key).drop("text"),
+                f"{path}/redacted": scanned.select(key, "anonymised_text"),
+                f"{path}/summary": scanned.select(
+                    key,
+                    F.size("findings").cast("bigint").alias("pii_found"),
+                    types.alias("pii_types"),
+                    placeholders.alias("placeholders"),
+                ),
+                vault: placeholder_map(scanned, key),
             }
-            for name, rows in outputs.items():
-                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+            for folder, rows in outputs.items():
+                rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
         finally:
             scanned.unpersist()
 
-    return _each_batch(texts, write, checkpoint)
+    return _each_batch(texts, write, checkpoint, trigger)

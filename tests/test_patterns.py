@@ -19,6 +19,10 @@ PARTS = {
     "LICENSE_PLATE": ["B", "Ö", "MÜN", "-", " ", "AB", "1", "234", "0", "E", "H", "x", "ä", "_", "9"],
     "TAX_ID": ["8", "6", "095", "742", "719", " ", "_", "x", "ä", "0"],
     "PERSONAL_ID": ["A", "B1", "C22990047", "9", "ä", "_", " ", "x", "12345678"],
+    "SOCIAL_SECURITY": ["65180675B003", "12 345678 X 123", "12", "65", "180675", "B", "X", "003", "123", " ", "  ", "x", "ä", "_", "0"],
+    "VAT_ID": ["DE123456789", "DE 123 456 789", "DE", "de", " ", "123", "456", "789", "12345678", "9", "x", "ä", "_"],
+    "KVNR": ["T123456780", "T", "A", "123456780", "000000002", "12345678", "9", "ä", "_", " ", "t"],
+    "DRIVER_LICENSE": ["Führerschein: B951204XY", "B951204XY", "Führerschein", "FS-Nr. ", "licence ", "B951204XY", "B", "951204", "XY", "1", " ", "ü" * 90, "_", "x"],
     "SECRET": ["token: ", "api_key", "passwd", "=", ":", " ", '"', "abcdefgh", "12345678", "1234567890abcdefgh", "_", "eyJ", ".", "-", "AKIA", "ABCDEFGH", "ä", "ſecret"],
     "URL_SECRET": ["?", "&", "key", "token", "=", "a", "b1", "#", " ", "ä", " ", "\x85", "x"],
 }

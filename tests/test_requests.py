@@ -180,3 +180,30 @@ def test_counters(spark):
     empty = [r["value"] for r in metrics.exposition(df.where("false"), "x").orderBy("line_no").collect()]
     assert empty[1::2] == ["x_requests_total 0", "x_pii_findings_total 0", "x_masked_bytes_total 0"]
     assert df.select(F.count("*")).first()[0] == 3
+
+
+def test_several_policies_for_a_port(spark):
+    calls = spark.createDataFrame([(1, 5, "a@b.de"), (2, 6, "a@b.de")], "request_id int, port int, body string")
+    policies = spark.createDataFrame(
+        [(5, 2, ["PHONE"], [], False), (5, 1, ["EMAIL"], [], False), (None, 1, [], [], True)],
+        "port int, policy_no int, detectors array<string>, whitelist array<string>, dry_run boolean",
+    )
+    found = requests.summarize(apply_policies(calls, policies, order=("policy_no",))).collect()
+    assert sorted((r["request_id"], r["pii_found"]) for r in found) == [(1, 1), (2, 1)]
+
+
+def test_bodies_with_repeated_keys_and_refused_ones(spark):
+    deep = '{"a":' * 1200 + "1" + "}" * 1200
+    rows = [(1, '{"messages": [], "messages": [{"role": "user", "content": "a@b.de"}]}'), (2, deep), (3, '{"a": 1} x')]
+    masked = requests.mask_bodies(spark.createDataFrame(rows, "request_id int, body string")).collect()
+    assert {r["request_id"]: r["kind"] for r in masked}[1] == "json" and {r["request_id"]: r["kind"] for r in masked}[3] == "text"
+    assert {r["request_id"]: [s["anonymised_text"] for s in r["scans"]] for r in masked}[1] == ["[EMAIL_1]"]
+    assert {r["request_id"]: r["kind"] for r in masked}[2] in ("reject", "text")
+
+
+def test_listed_api_keys(spark):
+    from redactlake.sources.policies import api_keys
+
+    document = '{"api_keys": [{"id": "1", "name": "n", "hash": "abc"}, {"id": "2", "hash": ""}, 5]}'
+    rows = api_keys(spark.createDataFrame([(document,), ("[]",), (None,)], "json string")).collect()
+    assert [tuple(r) for r in rows] == [("1", "n", "abc")]

@@ -42,17 +42,39 @@ def test_whitelist(spark):
 
 
 def test_whitelisted_winner_lets_another_candidate_surface(spark):
-    text = "https://x.example.com/?token=me@host.example.org"
-    assert masked(spark, text)[1][0]["pii_type"] == "URL_SECRET"
-    # both candidates hold the token, so nothing is left; a token of the longer one only would leave the e-mail
+    text = "https://x.example.com/?token=me@host.example.org/path"
+    assert [f["pii_type"] for f in masked(spark, text)[1]] == ["URL_SECRET"]
+    # the token is in the longer candidate only, so the e-mail inside it comes out
+    assert [(f["pii_type"], f["text"]) for f in masked(spark, text, whitelist=["org/path"])[1]] == [
+        ("EMAIL", "me@host.example.org")
+    ]
     assert masked(spark, text, whitelist=["me@host"])[1] == []
-    both = "Wagen B AB 1234, Konto DE89370400440532013000"
-    assert [f["pii_type"] for f in masked(spark, both)[1]] == ["LICENSE_PLATE", "IBAN"]
+
+
+def test_whitelist_table_and_many_tokens(spark):
+    texts = spark.createDataFrame([(1, "a", "x@b.de y@c.de"), (2, "b", "x@b.de"), (3, None, "x@b.de")], "scan_id int, team string, text string")
+    tokens = spark.createDataFrame([("a", " X@B.de "), ("a", ""), ("a", None), *[("b", f"t{i}") for i in range(10_000)]], "team string, token string")
+    listed = scans.with_whitelist(texts, tokens, "team")
+    found = scans.explode_findings(scans.scan_texts(listed, options=ScanOptions(whitelist="whitelist"))).collect()
+    assert sorted((f["scan_id"], f["text"]) for f in found) == [(1, "y@c.de"), (2, "x@b.de"), (3, "x@b.de")]
+
+
+def test_restore_from_incomplete_repeated_and_unordered_vaults(spark):
+    redacted = spark.createDataFrame([(1, "[EMAIL_1] [EMAIL_2] [EMAIL_10] [PHONE_1]")], "scan_id int, anonymised_text string")
+
+    def back(*entries):
+        vault = spark.createDataFrame([(1, *e) for e in entries], "scan_id int, placeholder string, text string")
+        return restore(redacted, vault).first()["restored_text"]
+
+    assert back(("[EMAIL_2]", "b")) == "[EMAIL_1] b [EMAIL_10] [PHONE_1]"
+    assert back(("[EMAIL_10]", "j"), ("[EMAIL_1]", "a"), ("[EMAIL_1]", "a"), ("[PHONE_1]", "p")) == "a [EMAIL_2] j p"
+    assert back(("[EMAIL_2]", "b"), ("[EMAIL_1]", "z"), ("[EMAIL_1]", "a"), ("none", "q")) == "a b [EMAIL_10] [PHONE_1]"
 
 
 def test_address_and_mail(spark):
-    text = "Ich wohne in der Breisacher Str. 28A, 79279 Vörstetten und meine Email ist a.muster@noa-x.de"
-    assert masked(spark, text)[0] == "Ich wohne [ADDRESS_1] Email ist [EMAIL_1]"
+    text = "Paket bitte zum Lindenhof Str. 7B, 54321 Übersee; Fragen an lager@versand.example.net"
+    found, spans_found = masked(spark, text)
+    assert [f["pii_type"] for f in spans_found] == ["ADDRESS", "EMAIL"] and found.endswith("; Fragen an [EMAIL_1]")
 
 
 def test_licence_with_all_detectors_is_a_personal_id(spark):
@@ -71,20 +93,21 @@ def test_marks_in_the_text(spark):
     assert [f["start"] for f in found] == [2, 16]
 
 
-def sequential_overlaps(candidates):
-    ordered = sorted(
-        enumerate(candidates), key=lambda p: (p[1]["start"], -p[1]["prio"], p[1]["start"] - p[1]["end"], p[0])
-    )
-    kept = []
-    for _, c in ordered:
-        if not kept or c["start"] >= kept[-1]["end"]:
-            kept.append(c)
-            continue
-        last = kept[-1]
-        longer = c["end"] - c["start"] > last["end"] - last["start"]
-        if c["prio"] > last["prio"] or (c["prio"] == last["prio"] and longer):
-            kept[-1] = c
-    return kept
+def overlap_winners(candidates):
+    """Recursive: the last place goes to the newcomer if it is apart or beats the one that holds it."""
+    ordered = sorted(candidates, key=lambda c: (c["start"], -c["prio"], c["start"] - c["end"]))
+    rank = lambda c: (c["prio"], c["end"] - c["start"])
+
+    def place(left, kept):
+        while left:
+            (newcomer, *left), holder = left, kept[-1] if kept else None
+            if holder is None or newcomer["start"] >= holder["end"]:
+                kept = [*kept, newcomer]
+            else:
+                kept = [*kept[:-1], max(holder, newcomer, key=rank)]
+        return kept
+
+    return place(ordered, [])
 
 
 def sequential_placeholders(found):
@@ -112,7 +135,7 @@ def test_spans_equal_a_sequential_run(spark):
     df = spark.createDataFrame(cases, f"id int, c array<{CANDIDATE}>")
     out = df.withColumn("r", spans.resolve_overlaps(F.col("c"))).withColumn("p", spans.assign_placeholders(F.col("r")))
     for row in out.collect():
-        wanted = sequential_overlaps(row["c"])
+        wanted = overlap_winners(row["c"])
         assert [tuple(c) for c in row["r"]] == [tuple(c) for c in wanted]
         assert [f["placeholder"] for f in row["p"]] == sequential_placeholders(wanted)
 
