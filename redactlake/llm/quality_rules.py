@@ -234,7 +234,7 @@ def quality_rules(
             F.percentile_approx(F.abs(off) * F.sqrt("n_grams"), 0.5, 10_000).alias("deviation"),
         )
     )
-    spread = F.lit(1.4826) * F.col("deviation") / F.sqrt("n_grams")
+    spread = F.lit(1.4826) * F.col("deviation") / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
     inside = off.between(-below * spread - least, above * spread + least)
     return measured.join(F.broadcast(deviations), "lang", "left").select(
         "doc_id",
