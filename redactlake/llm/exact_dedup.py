@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redactlake.llm.members import likely_members
 from redactlake.llm.store import Scratch
 from redactlake.llm.texts import encoded, slices
 
 LOCAL = "doc_id bigint, text_sha256 string, local_keep bigint, local_size bigint, lead boolean, part int, edge string"
-KEEPER = "sha binary, part int, edge string"
 HEAD_BYTES = 32
 
 
@@ -80,34 +80,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _keepers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each run in one sorted partition, with the marks of the partition's first and last run."""
-    before, run, held = None, -1, None
-    part_id = TaskContext.get().partitionId()
-
-    def marked(rows: pa.RecordBatch, first: bool, last: bool) -> pa.RecordBatch:
-        edges = ["f" if first and i == 0 else "" for i in range(rows.num_rows)]
-        edges[-1] += "l" if last else ""
-        names = [x for x in rows.schema.names if x not in ("head", "digest")]
-        columns = [rows.column(x) for x in [*names, "digest"]]
-        part = pa.array(np.full(rows.num_rows, part_id, np.int32))
-        return pa.RecordBatch.from_arrays([*columns, part, pa.array(edges)], [*names, "sha", "part", "edge"])
-
-    yielded = False
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            leads = []
-            for i, text in enumerate(encoded(part.column("text"))):
-                if (text := text.lower()) != before:
-                    run, before = run + 1, text
-                    leads.append(i)
-            if leads:
-                if held is not None:
-                    yield marked(held, not yielded, False)
-                    yielded = True
-                held = part.take(pa.array(leads))
-    if held is not None:
-        yield marked(held, not yielded, True)
+            digests = [hashlib.sha256(text.lower()).hexdigest() for text in encoded(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests)], [*part.schema.names, "sha"])
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -144,15 +121,20 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns as they were: exactly one of each group of `exact_groups`."""
-    scratch = Scratch(docs.sparkSession, "keep")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(1).alias("_")).alias("rest"))
-    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(KEEPER).fields])
-    local = scratch.keep(_sorted(rows).mapInArrow(_keepers, schema), "local")
-    edges = local.where("edge != ''").select("part", "edge", "sha")
-    again = (
-        edges.groupBy("sha").agg(F.min("part").alias("first")).join(edges, "sha").where("part > first").select("part", "edge")
-    )
-    kept = local.join(F.broadcast(again), ["part", "edge"], "left_anti")
-    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    """The rows of `docs` that stay, all columns as they were: exactly one of each group of `exact_groups`.
+
+    Most rows are told by their id not to be dropped and are passed on without a shuffle; only the others, and rows without
+    id, are joined with the groups.
+    """
+    groups = exact_groups(docs)
+    dropped = groups.where("not kept and doc_id is not null").select("doc_id").distinct()
+    certain = likely_members(docs, "doc_id", dropped, others=True)
+    doubtful = likely_members(docs, "doc_id", dropped).unionByName(docs.where("doc_id is null"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rows = doubtful.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*rest, F.lit(1).alias("_")).alias("rest"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("sha", T.StringType())])
+    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
+    single = rows.mapInArrow(_digested, schema).join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha"])
+    columns = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return certain.unionByName(single.select(*columns))

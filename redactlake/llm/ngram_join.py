@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactlake.llm.components import components
+from redactlake.llm.members import likely_members
 from redactlake.llm.store import Scratch
 from redactlake.llm.texts import encoded, slices
 
@@ -50,10 +51,14 @@ def ngram_set(text: bytes, length: int) -> np.ndarray:
 
 
 class Rule:
-    """When two sets link: 100 * overlap >= percent * union, that is (100 + percent) * difference <= (100 - percent) * sizes."""
+    """When two sets link: 100 * overlap >= percent * union, that is (100 + percent) * difference <= (100 - percent) * sizes.
 
-    def __init__(self, length: int, percent: int):
+    `frequent`: sorted n-grams that many sets hold. Any choice gives the same links.
+    """
+
+    def __init__(self, length: int, percent: int, frequent: np.ndarray | None = None):
         self.length, self.percent = length, percent
+        self.frequent = np.zeros(0, np.uint64) if frequent is None else frequent
 
     def differing(self, sizes: int) -> int:
         """The most n-grams in which two linked sets differ whose sizes add up to `sizes`."""
@@ -68,9 +73,13 @@ class Rule:
         return np.array(own)
 
     def parts(self, band: int) -> tuple[int, int]:
-        """How many parts sets have when the larger one is in `band`, and how many of them may be empty unsaid."""
+        """How many parts sets have when the larger one is in `band`, and how many of them may stay unsaid.
+
+        Linked sets have more parts in common than may stay unsaid. A part without n-grams, or with frequent ones only, says
+        little; a set leaves such parts out if they are few enough, and both linked sets have those that they share.
+        """
         most = self.differing(2 * int(self.bounds[band + 1] - 1))
-        slack = 1 + most // 128
+        slack = 1 + most // 16
         return (most + 1 + slack, slack) if most else (0, 0)
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
@@ -78,7 +87,7 @@ class Rule:
         if not len(grams):
             return np.zeros(0, np.uint64)
         own = int(np.searchsorted(self.bounds, len(grams), "right")) - 1
-        out = []
+        rare, out = ~np.isin(grams, self.frequent), []
         for band in (own, own + 1):
             parts, slack = self.parts(band)
             if not parts:
@@ -87,7 +96,7 @@ class Rule:
             of = ((values >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
             sums = np.zeros(parts, np.uint64)
             np.add.at(sums, of, values)
-            filled = np.bincount(of, minlength=parts) > 0
+            filled = np.bincount(of, weights=rare, minlength=parts) > 0
             kept = np.flatnonzero(filled | ((~filled).sum() > slack))
             out.append(mixed(mixed(sums[kept] + kept.astype(np.uint64) * STEP) + np.uint64(band + 1)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -110,6 +119,23 @@ def folded(bits: bytes, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0)
 
 
+def frequent_ngrams(docs: DataFrame, length: int, sample: int = 4096, least: int = 8, most: int = 1 << 16) -> np.ndarray:
+    """N-grams that at least `least` of some `sample` texts hold, the most frequent `most` of them, sorted. The sample only
+    decides how many candidates there are; links don't depend on it."""
+    every = max(1, docs.count() // sample)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                own = [ngram_set(text, length) for text in encoded(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["gram"])
+
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    counted = chosen.mapInArrow(grams, "gram bigint").groupBy("gram").count().where(F.col("count") >= least)
+    top = counted.orderBy(F.desc("count"), "gram").limit(most).select("gram").toArrow()
+    return np.sort(top.column("gram").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def _profiles(rule: Rule):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,30 +304,28 @@ def ngram_links(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFram
     may link with each other. A row without doc_id has the component of the rows with the same set, or null. Other columns
     are ignored; an empty table gives no rows.
     """
-    rule = Rule(length, percent)
     scratch = Scratch(docs.sparkSession, "ngrams")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rule = Rule(length, percent, frequent_ngrams(rows, length))
     schema = "doc_id bigint, n_shingles bigint, print binary, signatures binary"
     profiles = scratch.keep(rows.mapInArrow(_profiles(rule), schema), "profiles")
     narrow = scratch.keep(profiles.drop("signatures"), "narrow")
-    some = profiles.where("n_shingles > 0 and doc_id is not null")
-    reps = scratch.keep(
-        some.groupBy("print").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signatures").alias("signatures")
-        ),
-        "reps",
-    )
-    scratch.drop("profiles")
-    several = reps.where("length(signatures) > 0").select("rep", "signatures")
+    some = narrow.where("n_shingles > 0 and doc_id is not null")
+    reps = scratch.keep(some.groupBy("print").agg(F.min("doc_id").alias("rep")), "reps")
+    # a copy that passes as likely is one more set that links with its class
+    said = profiles.where("length(signatures) > 0 and doc_id is not null").select(F.col("doc_id").alias("rep"), "signatures")
+    several = likely_members(said, "rep", reps.select("rep"))
     spread = several.mapInArrow(_exploded, "tile bigint, rep bigint").repartitionByRange("tile", "rep")
     found = scratch.keep(
         spread.sortWithinPartitions("tile", "rep").mapInArrow(_tiles, "tile bigint, a bigint, b bigint"), "found"
     )
+    scratch.drop("profiles")
     pairs = scratch.keep(found.where("tile is null").select("a", "b").distinct(), "pairs")
     members = scratch.keep(found.where("tile is not null").select("tile", F.col("a").alias("rep")), "members")
     used = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(members.select("rep")).distinct()
+    used = scratch.keep(used, "used")
     texts = scratch.keep(
-        rows.join(used, F.col("doc_id") == F.col("rep"), "left_semi")
+        likely_members(rows, "doc_id", used).join(used, F.col("doc_id") == F.col("rep"), "left_semi")
         .mapInArrow(_bitmaps(rule), "rep bigint, print binary, n bigint, text string, bits binary")
         .dropDuplicates(["rep", "print"]),
         "texts",

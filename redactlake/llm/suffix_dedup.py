@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactlake.llm.cover_sort import classes
+from redactlake.llm.members import likely_members
 from redactlake.llm.store import Scratch
 from redactlake.llm.texts import encoded, raw, slices
 
@@ -297,7 +298,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "wanted",
     )
     texts = scratch.keep(
-        rows.select("row_key", "text").join(wanted, "row_key").mapInArrow(_checked, "text_key binary, text string").dropDuplicates(["text_key"]),
+        likely_members(rows.select("row_key", "text"), "row_key", wanted.select("row_key")).join(wanted, "row_key").mapInArrow(_checked, "text_key binary, text string").dropDuplicates(["text_key"]),
         "texts",
     )
     cut = scratch.keep(
