@@ -1,36 +1,23 @@
-"""Quality rules of documents: counts per text, and the perplexity of an n-gram model of the corpus.
+"""Quality rules of documents: counts per text, and the perplexity of a byte n-gram model of the corpus (`byte_model`).
 
-The model is of modified Kneser-Ney kind over four characters in 32 classes, one per language. Spark counts the n-grams of all
-texts; a model has at most 32**4 of them, which bounds what is sent to the tasks whatever the size of the corpus. It is kept
-in arrays sorted by n-gram code: probabilities of the n-grams seen, back-off weights of the contexts seen.
+The small model over 32 character classes in this file fits into one table and is not used for the rules.
 """
 
 from __future__ import annotations
 
-import functools
-import pickle
-from collections import defaultdict
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redactlake.llm.base_rules import BLANKS, base_counts
+from redactlake.llm.byte_model import surprises
 from redactlake.llm.store import Scratch
-from redactlake.llm.texts import encoded, slices
+
+__all__ = ["base_counts", "build_model", "byte_classes", "codes", "quality_rules", "table_of"]
 
 CLASSES, ORDER = 32, 4
 #: The class of each byte: 0 stands before and after a text.
 BEYOND_ASCII, CAPITAL, SPACE, DIGIT, OTHER = 27, 28, 29, 30, 31
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\v\f\r"
-LEAST_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
-BASE = (
-    "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-    "n_repeat_words bigint, base_failed boolean, surprise double, n_grams bigint"
-)
 
 
 def byte_classes() -> np.ndarray:
@@ -50,38 +37,6 @@ def codes(text: bytes, classes: np.ndarray) -> np.ndarray:
     return (own[:-3] << 15) | (own[1:-2] << 10) | (own[2:-1] << 5) | own[3:]
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """model_key, code, n over all texts; each task sends one row per n-gram that it has seen."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, tables = byte_classes(), {}
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for key, table in tables.items():
-                seen = np.flatnonzero(table)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(table[seen])],
-                    ["model_key", "code", "n"],
-                )
-            tables.clear()
-
-        for batch in batches:
-            for part in slices(batch, "text"):
-                grams = defaultdict(list)
-                for key, text in zip(part.column("model_key").to_pylist(), encoded(part.column("text")), strict=True):
-                    if text:
-                        grams[key].append(codes(text, classes))
-                for key, own in grams.items():
-                    if key not in tables and len(tables) >= 16:
-                        yield from sent()
-                    table = tables.setdefault(key, np.zeros(CLASSES**ORDER, np.int64))
-                    table += np.bincount(np.concatenate(own), minlength=len(table))
-        yield from sent()
-
-    counts = docs.mapInArrow(count, "model_key string, code int, n bigint")
-    return counts.groupBy("model_key", "code").agg(F.sum("n").alias("n"))
-
-
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """The three discounts of an order, for n-grams seen once, twice and more often."""
     n = [max(1, int((counts == i).sum())) for i in (1, 2, 3, 4)]
@@ -138,96 +93,29 @@ def table_of(model: dict[str, np.ndarray]) -> np.ndarray:
     return table
 
 
-def base_counts(text: bytes) -> tuple[int, int, int, int, int, bool]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    words, plain = text.split(), text.decode()
-    word_chars = len(plain) - sum(map(plain.count, BLANKS))
-    lines = [line for line in text.split(b"\n") if line.strip()]
-    repeated = 0
-    if len(words) > WINDOW:
-        hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-        windows = np.zeros(len(words) - WINDOW + 1, np.uint64)
-        for i in range(WINDOW):
-            windows = (windows ^ (windows >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(windows) + i]
-        ordered = np.sort(windows)
-        twice = ordered[1:][ordered[1:] == ordered[:-1]]
-        if len(twice):
-            begins = np.flatnonzero(np.isin(windows, twice))
-            covered = np.zeros(len(words) + 1, np.int64)
-            np.add.at(covered, begins, 1)
-            np.add.at(covered, begins + WINDOW, -1)
-            repeated = int((np.cumsum(covered)[:-1] > 0).sum())
-    failed = len(words) < LEAST_WORDS or 100 * repeated > REPEATED_PERCENT * len(words)
-    symbols = sum(map(plain.count, SYMBOLS))
-    return len(words), word_chars, symbols, len(lines) - len(set(lines)), repeated, failed
-
-
-@functools.lru_cache(2)
-def _tables(pickled: bytes) -> dict[str, np.ndarray]:
-    return {key: table_of(model) for key, model in pickle.loads(pickled).items()}
-
-
-def quality_rules(
-    docs: DataFrame, most_models: int = 32, below: float = 6.0, above: float = 10.0, least: float = 0.02
-) -> DataFrame:
+def quality_rules(docs: DataFrame, below: float = 6.0, above: float = 10.0, least: float = 0.02) -> DataFrame:
     """One row per row of `docs` (doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, perplexity (null for empty texts), kept.
+    base_failed, perplexity (per byte; null for empty texts), kept.
 
     kept is false where the base rules fail and where the perplexity leaves the band of its language. Its middle is the median of
     log2 perplexities of the documents that pass the base rules. A text's spread shrinks with the root of its length; its
     scale is the median deviation times that root. The band reaches `below` and `above` spreads and `least` more to either
-    side; it is wider above, as clean texts quote other languages and formulas. The `most_models` languages
-    with most documents have their own model, all others and null share one. Null texts count as empty. Repeated rows get the
-    same result; other columns are ignored; an empty table gives no rows.
+    side. Every language has its own model and band; null counts as the language of empty name.
+    Null texts count as empty.
+    Repeated rows get the same result; other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "rules")
-    largest = docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_models)
-    own = [row.lang for row in largest.collect()]
+    scratch = Scratch(docs.sparkSession, "rules")
     keyed = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.when(F.col("lang").isin(own), F.col("lang")).otherwise("").alias("model_key"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
     )
-
-    def model(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("code")
-        built = build_model(rows["code"].to_numpy(), rows["n"].to_numpy())
-        return pd.DataFrame({"model_key": [rows["model_key"].iloc[0]], "model": [pickle.dumps(built)]})
-
-    models = count_ngrams(keyed).groupBy("model_key").applyInPandas(model, "model_key string, model binary")
-    pickled = pickle.dumps({row.model_key: pickle.loads(row.model) for row in models.collect()})
-    sent = spark.sparkContext.broadcast(pickled)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, classes = _tables(sent.value), byte_classes()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows = []
-                for key, text in zip(part.column("model_key").to_pylist(), encoded(part.column("text")), strict=True):
-                    logs = tables[key][codes(text, classes)] if text else None
-                    mean = None if logs is None else -float(logs.mean(dtype=np.float64))
-                    rows.append((*base_counts(text), mean, 0 if logs is None else len(logs)))
-                names = [column.split()[0] for column in BASE.split(", ")]
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("model_key"),
-                        *[pa.array(column, pa.int64()) for column in columns[:5]],
-                        pa.array(columns[5], pa.bool_()),
-                        pa.array(columns[6], pa.float64()),
-                        pa.array(columns[7], pa.int64()),
-                    ],
-                    names,
-                )
-
-    measured = scratch.keep(keyed.mapInArrow(measure, BASE), "measured")
+    measured = scratch.keep(surprises(keyed, scratch), "measured")
     passing = measured.where("not base_failed")
     middles = passing.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("middle"))
     off = F.col("surprise") - F.col("middle")
     deviations = (
-        passing.join(F.broadcast(middles), "lang")
+        passing.join(middles, "lang")
         .groupBy("lang")
         .agg(
             F.first("middle").alias("middle"),
@@ -236,7 +124,7 @@ def quality_rules(
     )
     spread = F.lit(1.4826) * F.col("deviation") / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
     inside = off.between(-below * spread - least, above * spread + least)
-    return measured.join(F.broadcast(deviations), "lang", "left").select(
+    return measured.join(scratch.keep(deviations, "bands"), "lang", "left").select(
         "doc_id",
         "n_words",
         "word_chars",

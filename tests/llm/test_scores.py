@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from redactlake.llm import toxicity
+from redactlake.llm import byte_model, toxicity
 from redactlake.llm.quality_classifier import Network, fit, quality_scores
 from redactlake.llm.quality_rules import base_counts, build_model, byte_classes, codes, quality_rules, table_of
 from redactlake.llm.toxicity import Grammar, learn_lexicon, toxicity_scores
@@ -146,6 +146,28 @@ def test_odd_texts_leave_the_band(make):
     assert all(kept[i] for i in range(200)) and not kept[901]
 
 
+def test_model_grows_with_the_corpus(spark, make, monkeypatch):
+    """More text brings more n-grams, and any number of blocks and buckets gives the same surprises."""
+    texts = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyzÄ漢% ", k=900)) for i in range(40)]
+    different = [len(np.unique(np.concatenate([byte_model.grams(t.encode()) for t in texts[:n]]))) for n in (4, 40)]
+    assert different[1] > 9 * different[0]
+    rows = [(i, text, ("en", "fr", None)[i % 3]) for i, text in enumerate([*texts, *texts[:5], "", "word " * 999])]
+    first = {row.doc_id: row.perplexity for row in quality_rules(make(rows)).collect()}
+    monkeypatch.setattr(byte_model, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(byte_model, "BUCKET_BYTES", 10_000)
+    again = {row.doc_id: row.perplexity for row in quality_rules(make(rows)).collect()}
+    assert first.keys() == again.keys() and first[40] is not None and first[45] is None
+    assert all(first[i] == pytest.approx(again[i], rel=1e-5) for i in first if first[i] is not None)
+
+
+def test_shares_are_a_distribution():
+    keys, counts = np.unique(byte_model.grams(b"some words of text and some others of some text" * 3), return_counts=True)
+    seen, rest = byte_model.shares(counts, *byte_model.sums(keys, counts))
+    for context in np.unique(keys >> np.uint64(8)):
+        own = keys >> np.uint64(8) == context
+        assert seen[own].sum() + rest[own][0] == pytest.approx(1)
+
+
 def test_model_is_a_distribution():
     own = np.concatenate([codes(text, byte_classes()) for text in (b"some words of text", b"Some 12 others!", b"")])
     table = table_of(build_model(*np.unique(own, return_counts=True)))
