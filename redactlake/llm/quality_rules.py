@@ -93,14 +93,15 @@ def table_of(model: dict[str, np.ndarray]) -> np.ndarray:
     return table
 
 
-def quality_rules(docs: DataFrame, below: float = 6.0, above: float = 10.0, least: float = 0.02) -> DataFrame:
+def quality_rules(docs: DataFrame, below: float = 6.0, above: float = 8.0, least: float = 0.02) -> DataFrame:
     """One row per row of `docs` (doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, perplexity (per byte; null for empty texts), kept.
 
     kept is false where the base rules fail and where the perplexity leaves the band of its language. Its middle is the median of
     log2 perplexities of the documents that pass the base rules. A text's spread shrinks with the root of its length; its
-    scale is the median deviation times that root. The band reaches `below` and `above` spreads and `least` more to either
-    side. Every language has its own model and band; null counts as the language of empty name.
+    scale is the median deviation times that root. The band reaches `above` spreads and `least` more upwards. Downwards it reaches
+    `below` spreads and `least` more in the perplexity after at most two bytes, since longer contexts know clean texts
+    with near copies by heart. Every language has its own model and bands; null counts as the language of empty name.
     Null texts count as empty.
     Repeated rows get the same result; other columns are ignored; an empty table gives no rows.
     """
@@ -112,18 +113,23 @@ def quality_rules(docs: DataFrame, below: float = 6.0, above: float = 10.0, leas
     )
     measured = scratch.keep(surprises(keyed, scratch), "measured")
     passing = measured.where("not base_failed")
-    middles = passing.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("middle"))
-    off = F.col("surprise") - F.col("middle")
+    middles = passing.groupBy("lang").agg(
+        *[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_middle") for c in ("surprise", "near_surprise")]
+    )
+    off = {c: F.col(c) - F.col(f"{c}_middle") for c in ("surprise", "near_surprise")}
     deviations = (
         passing.join(middles, "lang")
         .groupBy("lang")
         .agg(
-            F.first("middle").alias("middle"),
-            F.percentile_approx(F.abs(off) * F.sqrt("n_grams"), 0.5, 10_000).alias("deviation"),
+            *[F.first(f"{c}_middle").alias(f"{c}_middle") for c in off],
+            *[F.percentile_approx(F.abs(o) * F.sqrt("n_grams"), 0.5, 10_000).alias(f"{c}_deviation") for c, o in off.items()],
         )
     )
-    spread = F.lit(1.4826) * F.col("deviation") / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
-    inside = off.between(-below * spread - least, above * spread + least)
+    root = F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
+    spread = {c: F.lit(1.4826) * F.col(f"{c}_deviation") / root for c in off}
+    inside = (off["surprise"] <= above * spread["surprise"] + least) & (
+        off["near_surprise"] >= -below * spread["near_surprise"] - least
+    )
     return measured.join(scratch.keep(deviations, "bands"), "lang", "left").select(
         "doc_id",
         "n_words",

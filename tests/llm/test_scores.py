@@ -146,6 +146,30 @@ def test_odd_texts_leave_the_band(make):
     assert all(kept[i] for i in range(200)) and not kept[901]
 
 
+def test_band_below_rejects_predictable_texts(make):
+    draw = random.Random(2)
+    words = ["".join(draw.choices("aeioulnrst", k=draw.randrange(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(draw.choices(words, k=150)), "en") for i in range(200)]
+    rows += [(900, " ".join(draw.choices(["zqxj", "qqzw", "xvkq", "jjqz", "wzxk", "vqpz"], k=150)), "en")]
+    row = {row.doc_id: row for row in quality_rules(make(rows)).collect()}
+    assert not row[900].base_failed and not row[900].kept and all(row[i].kept for i in range(200))
+
+
+def test_frequent_junk_is_rejected_and_near_copies_stay(make):
+    draw = random.Random(3)
+    words = ["".join(draw.choices("aeioulnrst", k=draw.randrange(2, 8))) for _ in range(300)]
+    texts = [draw.choices(words, k=draw.randrange(60, 200)) for _ in range(300)]
+    rows = [(i, " ".join(own).capitalize() + ".") for i, own in enumerate(texts)]
+    rows += [(1000 + i, " ".join(w + draw.choice(["%%%", "***", "$$$"]) for w in own)) for i, own in enumerate(texts[:30])]
+    rows += [(2000 + i, " | ".join(own)) for i, own in enumerate(texts[30:60])]
+    rows += [(3000 + i, rows[0][1] + f" {words[i]} {words[i + 1]}") for i in range(30)]
+    got = {row.doc_id: row for row in quality_rules(make(rows)).collect()}
+    junk = [got[i] for i in got if 1000 <= i < 3000 and not got[i].base_failed]
+    clean = [got[i] for i in got if (i < 1000 or i >= 3000) and not got[i].base_failed]
+    assert len(junk) > 30 and not any(row.kept for row in junk)
+    assert np.mean([row.kept for row in clean]) > 0.98 and all(got[i].kept for i in range(3000, 3030))
+
+
 def test_model_grows_with_the_corpus(spark, make, monkeypatch):
     """More text brings more n-grams, and any number of blocks and buckets gives the same surprises."""
     texts = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyzÄ漢% ", k=900)) for i in range(40)]
@@ -168,6 +192,21 @@ def test_shares_are_a_distribution():
         assert seen[own].sum() + rest[own][0] == pytest.approx(1)
 
 
+def test_every_language_has_its_own_model(make):
+    draw = random.Random(4)
+    rows = []
+    for lang in range(40):
+        letters = "".join(draw.sample("abcdefghijklmnopqrstuvwxyz", 9))
+        words = ["".join(draw.choices(letters, k=draw.randrange(2, 8))) for _ in range(150)]
+        rows += [(100 * lang + i, " ".join(draw.choices(words, k=100)), f"l{lang:02}") for i in range(25)]
+    words = rows[0][1].split()
+    strange = [(100 * lang + 99, " ".join(draw.choices(words, k=100)), f"l{lang:02}") for lang in range(1, 40)]
+    got = {row.doc_id: row for row in quality_rules(make(rows + strange)).collect()}
+    judged = [got[i] for i, *_ in strange if not got[i].base_failed]
+    assert len(judged) > 30 and not any(row.kept for row in judged)
+    assert np.mean([got[i].kept for i, *_ in rows]) > 0.98
+
+
 def test_model_is_a_distribution():
     own = np.concatenate([codes(text, byte_classes()) for text in (b"some words of text", b"Some 12 others!", b"")])
     table = table_of(build_model(*np.unique(own, return_counts=True)))
