@@ -50,11 +50,12 @@ def failure_masks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     narrow = scratch.keep(rows.select("part", "doc_id", own.alias("own"), F.unhex(F.sha2("text", 256)).alias("digest")), "masks")
     # only texts of several rows can be repeated; counts per task come first, so that no text's rows meet in one
     repeated = narrow.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    repeated = scratch.keep(repeated, "repeated")  # else the join would have to keep the partitions of the counts
     later = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))
     masks = narrow.join(repeated, "digest", "left").select(
         "part", "doc_id", (F.col("own") + F.when(later, 16).otherwise(0)).alias("mask")
     )
-    return scratch.keep(masks, "all-masks")  # written straight from the join, whose hot digests Spark can then split
+    return scratch.keep(masks, "all-masks")  # straight from the join, whose hot digests Spark can then split
 
 
 def mask_cells(masks: DataFrame, labels: DataFrame) -> DataFrame:
