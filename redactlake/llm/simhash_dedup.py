@@ -196,7 +196,8 @@ def print_links(prints: DataFrame, scratch: Scratch) -> DataFrame:
     celled = placed.select("key", "print", "own", other.alias("other")).select(
         "key", "print", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
     )
-    late = celled.groupBy("key", "low", "high").applyInArrow(_block_forest, "a bigint, b bigint")
+    # dealt anew: by the join all cells of a key would be in one task
+    late = celled.repartition("key", "low", "high").groupBy("key", "low", "high").applyInArrow(_block_forest, "a bigint, b bigint")
     return found.where("key is null").select("a", "b").unionByName(late)
 
 
