@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from redactlake import fixed_values as fv
 from redactlake.plans import planted
-from redactlake.plans.queries import CALLS, ENTRIES, POLICY_JSON, TOP_DOCUMENTS, WHITELIST
+from redactlake.plans.queries import CALLS, ENTRIES, POLICY_JSON, TOKENS, TOP_DOCUMENTS, WHITELIST
 
 
 BOUNDARY = r"\b"
@@ -230,6 +230,7 @@ FLAT = 'scan_id, pii_type, start, "end", text, confidence, rule_id'
 
 
 def on_corpus(select: str, **options) -> str:
+    """``select`` may begin with a comma and more CTEs."""
     return f"with recursive {CORPUS},\n{scan_ctes(**options)}\n{select}"
 
 
@@ -323,6 +324,83 @@ def policy_apply() -> str:
     return on_bodies(select, segments, keep)
 
 
+#: Paths of the texts that are masked, by layout of the body.
+_BLOCK = "messages[1].content[0]"
+MASKED_PATHS = [
+    ["messages[1].content"],
+    [f"{_BLOCK}.text"],
+    [f"{_BLOCK}.content"],
+    [f"{_BLOCK}.content[0].text", f"{_BLOCK}.content[1].text"],
+    [f"{_BLOCK}.input.a", f"{_BLOCK}.input.b.c", f"{_BLOCK}.input.b.e.f.g"],
+    [], [], [],
+    ["messages[1].content"],
+    [],
+    ["messages[0].content"],
+]
+
+
+def whole_bodies(value: str) -> str:
+    """Bodies put together again, with ``value`` (SQL over a row m of segments) where a text is masked."""
+
+    def told(path: str) -> str:
+        return planted._quoted(f"(select {value} from told m where m.scan_id = b.request_id || ' {path}')")
+
+    parts = planted.layouts([[told(p) for p in paths] for paths in MASKED_PATHS], "said", "extra", "more")
+    # of a repeated key the last value is left, and the object is written anew
+    parts[10] = f"concat('{{\"messages\":[{{\"content\":', {told('messages[0].content')}, ',\"role\":\"user\"}}],\"model\":\"b\"}}')"
+    raw = f"(select {value} from told m where m.scan_id = b.request_id || ' body')"
+    return (
+        f"case when kind = 'text' then {raw} when kind = 'empty' then '' when role = 'user' or request_id % 11 = 10 "
+        f"then {planted.by_layout(parts)} else body end"
+    )
+
+
+WHOLE = (
+    f"whole as (select p.request_id, p.kind, p.body, t.role, t.text, {', '.join(planted.BODY_PARTS).replace('(request_id', '(p.request_id')} "
+    "from parsed p join turns t on t.request_id = p.request_id)"
+)
+MASKED_WHOLE = f"select request_id, kind, {whole_bodies('m.anonymised_text')} as masked_body from whole b"
+RESTORED_WHOLE = f"select request_id, {whole_bodies('m.restored')} as restored_body from whole b"
+
+
+def policy_as_of() -> str:
+    """The version by a plain join with all earlier ones; then per-request lists as in policy_apply."""
+    versions = """versions as (
+  select n_nationkey as n, v, 8000 + n_nationkey as port, 1704067200 + least(v, 2) * 86400 + n_nationkey * 3600 as since
+  from nation, range(0, 4) r(v) where v < 3 or n_nationkey % 4 = 0),
+asked as (select request_id, case when conv_id % 2 = 0 then 8008 else 8000 + conv_id % 27 end as port, 1704067200 + request_id * 7919 % 300000 as moment from bodies),
+chosen as materialized (
+  select a.request_id, max(struct_pack(since := since, v := v, n := n)) as c from asked a join versions on versions.port = a.port and since <= moment group by a.request_id),
+ruled as materialized (
+  select b.request_id, c.v::int as version, case when not (c.n = 9 and c.v = 1) then c.n + c.v end as k from bodies b left join chosen h on h.request_id = b.request_id)"""
+    segments = SEGMENTS.replace(
+        "parsed as materialized", f"{versions},\nparsed as materialized", 1
+    ).replace(
+        "select request_id, body, case when body = ''",
+        "select request_id, body, case when body = '' then 'empty' when k % 6 = 5 then 'dry_run' when body = ''",
+    ).replace("from bodies),\nmessages", "from bodies join ruled using (request_id)),\nmessages")
+    segments = segments.replace("from parsed where kind = 'text')", "from parsed where kind in ('text', 'dry_run'))")
+    k = "(select any_value(r.k) from segments s join ruled r on r.request_id = s.request_id where s.scan_id = c.scan_id)"
+    keep = f"""case when {k} is null or {k} % 5 = 0 then true when {k} % 5 = 1 then c.pii_type = 'EMAIL'
+      when {k} % 5 = 2 then c.pii_type in ('IBAN', 'SECRET') when {k} % 5 = 3 then c.pii_type in ('PHONE', 'URL_SECRET', 'ADDRESS')
+      else c.pii_type in ('EMAIL', 'KVNR') end
+    and not (coalesce({k} % 2 = 0, false) and (contains(lower(c.text), 'firma1') or contains(lower(c.text), 'zürich')))"""
+    select = SUMMARY_ROW.replace(
+        "masked_bytes from summaries",
+        "case when kind = 'dry_run' then 0 else masked_bytes end::bigint as masked_bytes, version from summaries join ruled using (request_id)",
+    )
+    return on_bodies(select, segments, keep)
+
+
+TOKEN_TABLE = TOKENS.replace("{orders}", "orders")
+WHITELIST_TABLE_KEEP = f"""not exists (select 1 from (select distinct lower(trim(token)) as tok from ({TOKEN_TABLE})) t
+  where t.tok <> '' and contains(lower(c.text), t.tok))"""
+NUMBERED = """numbered as (
+  select pii_type, text, '[' || pii_type || '_' || row_number() over (partition by pii_type order by doc, start, text) || ']' as pseudonym, docs
+  from (select pii_type, text, min(scan_id) as doc, arg_min(start, (scan_id, start)) as start, count(distinct scan_id) as docs
+        from placed group by pii_type, text))"""
+
+
 FALLBACK_KEEP = """case when c.scan_id % 3 = 0 then c.pii_type in ('EMAIL', 'SECRET')
     when c.scan_id % 5 < 3 then c.pii_type in ('PHONE', 'IBAN', 'EMAIL') else true end
   and not contains(lower(c.text), 'firma2') and not contains(lower(c.text), 'firma4')"""
@@ -388,7 +466,10 @@ def queries() -> dict[str, str]:
 union all select page_id, 0, null, 'html', html from pages union all select item_id, 0, null, 'text', text from benchmark
 union all select conv_id, turn::int, role, 'text', text from conversations"""
     kinds = "case when body = '' then 'empty' when json_valid(body) and json_type(body) = 'OBJECT' then 'json' else 'text' end as kind"
-    out["src_requests"] = f"with {BODIES} select request_id, {kinds}, strlen(body)::bigint as n_bytes from bodies"
+    out["src_requests"] = (
+        f"with {BODIES} select request_id, case when request_id % 7 = 0 then 'text' else {kinds.removesuffix(' as kind')} end as kind, "
+        "request_id % 7 = 0 as quarantined, (strlen(body) + case when request_id % 7 = 0 then 2 else 0 end)::bigint as n_bytes from bodies"
+    )
     out["body_triage"] = f"with {BODIES} select request_id, {kinds} from bodies"
     out["src_access_log"] = f"""with {LINES} select l.seq, case when not broken then date_trunc('second', ts) end as ts,
   case when not broken then method end as method, case when not broken then path end as path, case when not broken then status end as status,
@@ -430,6 +511,23 @@ union all select conv_id, turn::int, role, 'text', text from conversations"""
     out["mask_tool_results"] = segment_rows(r"\]\.content\[[0-9]+\]\.content")
     out["mask_tool_inputs"] = segment_rows(r"\.input\.")
     out["mask_raw_body"] = segment_rows("^body$")
+    told = "told as materialized (select scan_id, anonymised_text from masked)"
+    out["masked_body"] = on_bodies(f",\n{told},\n{WHOLE}\n{MASKED_WHOLE}")
+    out["request_findings"] = on_bodies('select request_id, s.path, f.pii_type, f.start, f."end", f.text, f.placeholder from placed f join segments s using (scan_id)')
+    out["body_vault"] = on_bodies("select distinct request_id, s.path, f.placeholder, f.text from placed f join segments s using (scan_id)")
+    back = f"told as materialized (select r.scan_id, r.restored_text as restored from ({RESTORED.replace('g.scan_id % 5', 'q.request_id % 5').replace('group by g.scan_id', 'join segments q on q.scan_id = g.scan_id group by g.scan_id')}) r)"
+    out["restore_bodies"] = on_bodies(f",\n{back},\n{WHOLE}\n{RESTORED_WHOLE}")
+    out["policy_as_of"] = policy_as_of()
+    out["whitelist_table"] = on_corpus("select scan_id, anonymised_text, n_findings from masked", keep=WHITELIST_TABLE_KEEP)
+    out["corpus_numbered_pseudonyms"] = on_corpus(f",\n{NUMBERED}\nselect * from numbered")
+    out["corpus_masked_by_pseudonyms"] = on_corpus(
+        f""",\n{NUMBERED}
+select m.scan_id, case when j.scan_id is null then m.text else j.head || substr(m.text, j.cend + 1) end as masked_text
+from masked m left join (
+  select g.scan_id, string_agg(g.gap || n.pseudonym, '' order by g.slot) as head, max(g.cend) as cend
+  from gaps g join placed p on p.scan_id = g.scan_id and p.slot = g.slot join numbered n on n.pii_type = p.pii_type and n.text = p.text
+  group by g.scan_id) j on j.scan_id = m.scan_id"""
+    )
     out["dry_run_report"] = dry_run()
     out["scan_summary"] = on_bodies(SUMMARY_ROW.replace(", masked_bytes", ""))
     out["masked_bytes"] = on_bodies("select request_id, masked_bytes from summaries")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from redactlake.functions.arrays import bind, built_once, empty_array
+from redactlake.functions.json_text import count_keys, key_step, quoted, replace_strings
 from redactlake.functions.scan import ScanOptions, scan_struct
 
 SEGMENT = "struct<path:string,text:string>"
@@ -93,7 +94,7 @@ def _strings_in_objects(path: Column, value: Column) -> Column:
         fields = F.map_entries(F.try_variant_get(node["value"], "$", _FIELDS))
         return F.transform(
             fields,
-            lambda e: F.struct(F.concat(node["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("value")),
+            lambda e: F.struct(F.concat(node["path"], key_step(e["key"])).alias("path"), e["value"].alias("value")),
         )
 
     def descend(acc: Column, _: Column) -> Column:
@@ -197,3 +198,21 @@ def scan_segments(segments: str, options: ScanOptions = ScanOptions()) -> Column
         )
 
     return F.transform(segments, scanned)
+
+
+def rewritten_body(body: Column, kind: Column, document: Column, texts: Column) -> Column:
+    """The body with texts put in place: ``texts`` holds (path, text) of the strings that change.
+
+    Of a JSON body nothing else changes, unless it repeats a key: then the values that don't count, which nobody has scanned, must
+    not go on, and the body is written anew from its parsed value. Raw text is replaced whole. A body of kind reject, which can't be
+    scanned, is NULL; empty ones and dry runs stay as they are.
+    """
+    once = F.to_json(document)
+    base = F.when(count_keys(body) > count_keys(once), once).otherwise(body)
+    by_path = F.map_from_entries(F.transform(texts, lambda t: F.struct(t["path"].alias("path"), quoted(t["text"]).alias("text"))))
+    json = bind(base, lambda b: F.when(F.size(texts) > 0, bind(by_path, lambda m: replace_strings(b, m))).otherwise(b))
+    return (
+        F.when(kind == "json", json)
+        .when(kind == "text", F.coalesce(F.get(texts, F.lit(0))["text"], body))
+        .when(kind.isin("empty", "dry_run"), body)
+    )

@@ -13,12 +13,13 @@ from redactlake.functions.bodies import (
     allow_repeated_keys,
     body_kind,
     json_document,
+    rewritten_body,
     scan_segments,
     segments_of,
     triage_kind,
 )
 from redactlake.functions.scan import ScanOptions, column_findings
-from redactlake.functions.spans import FINDING, mask, merge_whitelists
+from redactlake.functions.spans import FINDING, mapping_of, mask, merge_whitelists
 from redactlake.operators.scans import FINDING_COLUMNS, explode_array
 
 
@@ -54,25 +55,43 @@ def _scan(df: DataFrame, body: str, options: ScanOptions, kind: Callable[[Column
         .withColumn("kind", kind(F.col(DOCUMENT)))
         .withColumn("segments", segments_of(body, "kind", DOCUMENT))
         .withColumn("scans", scan_segments("segments", options))
-        .drop("segments", DOCUMENT)
+        .drop("segments")
     )
 
 
 def mask_bodies(df: DataFrame, body: str = "body", options: ScanOptions = ScanOptions()) -> DataFrame:
     """Add ``kind`` and ``scans``: path, text, masked text and findings of every segment. No shuffle."""
-    return _scan(df, body, options, lambda document: body_kind(F.col(body), document))
+    return _scan(df, body, options, lambda document: body_kind(F.col(body), document)).drop(DOCUMENT)
+
+
+def _with_masked_body(scanned: DataFrame, body: str) -> DataFrame:
+    changed = F.transform(
+        F.filter("scans", lambda s: F.size(s["findings"]) > 0),
+        lambda s: F.struct(s["path"].alias("path"), s["anonymised_text"].alias("text")),
+    )
+    return (
+        scanned.withColumn("_changed", changed)
+        .withColumn("masked_body", rewritten_body(F.col(body), F.col("kind"), F.col(DOCUMENT), F.col("_changed")))
+        .drop("_changed", DOCUMENT)
+    )
+
+
+def whole_masked_bodies(df: DataFrame, body: str = "body", options: ScanOptions = ScanOptions()) -> DataFrame:
+    """As ``mask_bodies``, and ``masked_body``: the body that can be sent on. Texts of the user are masked where they stand, system
+    and assistant parts, keys, numbers and white space stay as they are. Bodies of kind reject have none. No shuffle."""
+    return _with_masked_body(_scan(df, body, options, lambda document: body_kind(F.col(body), document)), body)
 
 
 def dry_run(df: DataFrame, body: str = "body", options: ScanOptions = ScanOptions()) -> DataFrame:
     """Scan whole bodies as they are, JSON syntax and all roles included, and change nothing."""
-    return _scan(df, body, options, lambda document: triage_kind(F.col(body), document, F.lit(True)))
+    return _scan(df, body, options, lambda document: triage_kind(F.col(body), document, F.lit(True))).drop(DOCUMENT)
 
 
 def mask_by_policy(df: DataFrame, body: str = "body") -> DataFrame:
     """As ``mask_bodies``, with the lists of each row in detectors and whitelist and its dry_run flag."""
     asked = F.coalesce(F.col("dry_run"), F.lit(False))
     options = ScanOptions("detectors", "whitelist")
-    return _scan(df, body, options, lambda document: triage_kind(F.col(body), document, asked))
+    return _scan(df, body, options, lambda document: triage_kind(F.col(body), document, asked)).drop(DOCUMENT)
 
 
 def masked_segments(masked: DataFrame, key: str = "request_id") -> DataFrame:
@@ -87,6 +106,14 @@ def request_findings(masked: DataFrame, key: str = "request_id") -> DataFrame:
     return explode_array(rows, "findings", [key, "path"], FINDING_COLUMNS)
 
 
+def body_vault(masked: DataFrame, key: str = "request_id") -> DataFrame:
+    """Vault of masked bodies: key, path, placeholder, text. Placeholders start anew in every text of a body, so that the path is part of
+    an entry's key. No shuffle."""
+    rows = explode_array(masked, "scans", [key], ["path", "findings"])
+    found = rows.select(key, "path", mapping_of(F.col("findings")).alias("mapping"))
+    return explode_array(found, "mapping", [key, "path"], ["placeholder", "text"])
+
+
 def _all_findings(scans: Column) -> Column:
     return F.flatten(F.transform(scans, lambda s: s["findings"]))
 
@@ -102,8 +129,8 @@ def masked_bytes(scans: Column) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), total("text") - total("anonymised_text"))
 
 
-def summarize(masked: DataFrame, key: str = "request_id") -> DataFrame:
-    """One summary per request, inside the row: count, types, placeholders, bytes.
+def summarize(masked: DataFrame, key: str = "request_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One summary per request, inside the row: count, types, placeholders, bytes; and the columns to ``keep``.
 
     Raw text lists a type once per finding, JSON and dry runs list each type once, sorted.
     """
@@ -112,6 +139,7 @@ def summarize(masked: DataFrame, key: str = "request_id") -> DataFrame:
     placeholders = F.transform("_found", lambda f: f["placeholder"])
     return with_findings.select(
         key,
+        *keep,
         F.size("_found").cast("bigint").alias("pii_found"),
         F.sort_array(F.array_distinct(placeholders)).alias("placeholders"),
         F.when(F.col("kind") == "text", types).otherwise(F.sort_array(F.array_distinct(types))).alias("pii_types"),

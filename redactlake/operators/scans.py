@@ -11,18 +11,22 @@ from redactlake.functions.spans import clean_tokens, mapping_of, mask
 FINDING_COLUMNS = ["pii_type", "start", "end", "text", "confidence", "placeholder", "rule_id"]
 
 
-#: An input is spread over the cores only if it has this many times fewer splits than there are cores.
-FEW_SPLITS = 4
+#: An input with fewer bytes a core than this is spread over all cores.
+SMALL_BYTES = 32 << 20
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over all cores. An input with more than a quarter as many splits as cores stays as it is, so
-    that a large corpus is never shuffled. Meant for tables straight from files; streams are left alone."""
-    if df.isStreaming:
+    """Spread a small input over all cores; a larger one stays as it is, so that a large corpus is never shuffled.
+
+    The planner's estimate of the bytes decides, not the number of splits: a small file often has one row group, so that one
+    of its splits holds all rows. Meant for tables straight from files; streams, and sessions whose plans can't be looked at from here, are left
+    alone.
+    """
+    if df.isStreaming or not hasattr(df, "_jdf"):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    # one small file can come as several splits with all rows in one of them
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() * FEW_SPLITS <= cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if size < SMALL_BYTES * cores else df
 
 
 def with_whitelist(df: DataFrame, tokens: DataFrame, on: str, name: str = "whitelist") -> DataFrame:

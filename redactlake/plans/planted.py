@@ -115,40 +115,47 @@ BODY_PARTS = [
 ]
 
 
-def _body() -> str:
-    """A request body per turn, in one of eleven layouts."""
+def layouts(masked: list[list[str]], said: str, extra: str, more: str) -> list[str]:
+    """A request body in each of eleven layouts. ``masked[i]``: what stands in layout i where texts are masked; the other expressions stand
+    where nothing is."""
     system = '{"system": "Contact support@example.com", "messages": ['
     opening = f"concat('{system}', '{{\"role\": \"assistant\", \"content\": \"ask boss@example.com\"}}, "
 
     def message(content: str) -> str:
         return f"{opening}{{\"role\": \"', role, '\", \"content\": ', {content}, '}}]}}')"
 
-    cases = [
-        message("said"),
-        message("concat('[{\"type\": \"text\", \"text\": ', said, '}, {\"type\": \"image\", \"text\": ', extra, '}]')"),
-        message("concat('[{\"type\": \"tool_result\", \"tool_use_id\": \"x\", \"content\": ', said, '}]')"),
+    m = masked
+    return [
+        message(m[0][0]),
+        message(f"concat('[{{\"type\": \"text\", \"text\": ', {m[1][0]}, '}}, {{\"type\": \"image\", \"text\": ', {extra}, '}}]')"),
+        message(f"concat('[{{\"type\": \"tool_result\", \"tool_use_id\": \"x\", \"content\": ', {m[2][0]}, '}}]')"),
         message(
-            "concat('[{\"type\": \"tool_result\", \"content\": [{\"type\": \"text\", \"text\": ', said, '}, "
-            "{\"type\": \"other\", \"text\": ', extra, '}, \"plain\"]}]')"
+            f"concat('[{{\"type\": \"tool_result\", \"content\": [{{\"type\": \"text\", \"text\": ', {m[3][0]}, '}}, "
+            f"{{\"type\": \"other\", \"text\": ', {m[3][1]}, '}}, \"plain\"]}}]')"
         ),
         message(
-            "concat('[{\"type\": \"tool_use\", \"input\": {\"a\": ', said, ', \"b\": {\"c\": ', extra, ', \"d\": [', more, "
-            "'], \"e\": {\"f\": {\"g\": ', more, '}}}, \"n\": 5}}]')"
+            f"concat('[{{\"type\": \"tool_use\", \"input\": {{\"a\": ', {m[4][0]}, ', \"b\": {{\"c\": ', {m[4][1]}, ', \"d\": [', {more}, "
+            f"'], \"e\": {{\"f\": {{\"g\": ', {m[4][2]}, '}}}}}}, \"n\": 5}}}}]')"
         ),
         "text",
-        "concat('[', said, ']')",
+        f"concat('[', {said}, ']')",
         "''",
         # a string that looks like a list of blocks
-        message("concat(chr(34), '[{', substr(said, 2, length(said) - 2), '}]', chr(34))"),
-        "concat('{\"messages\": ', said, ', ', text)",
+        message(m[8][0]),
+        f"concat('{{\"messages\": ', {said}, ', ', text)",
         # a repeated key
-        "concat('{\"model\": \"a\", \"model\": \"b\", \"messages\": [{\"role\": \"user\", \"content\": ', said, '}]}')",
+        f"concat('{{\"model\": \"a\", \"model\": \"b\", \"messages\": [{{\"role\": \"user\", \"content\": ', {m[10][0]}, '}}]}}')",
     ]
+
+
+def by_layout(cases: list[str]) -> str:
     whens = " ".join(f"when {i} then {c}" for i, c in enumerate(cases))
     return f"case cast(request_id % {len(cases)} as int) {whens} end"
 
 
-BODY = _body()
+LISTED = "concat(chr(34), '[{', substr(said, 2, length(said) - 2), '}]', chr(34))"
+_PLAIN = [["said", "extra", "more"]] * 8 + [[LISTED]] + [["said"]] * 2
+BODY = by_layout(layouts(_PLAIN, "said", "extra", "more"))
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from redactlake import fixed_values as fv
 from redactlake.functions import spans
-from redactlake.functions.scan import ScanOptions
-from redactlake.operators import corpus, logs, metrics, requests, scans, traffic
-from redactlake.operators.policies import apply_policies
+from redactlake.functions.scan import ScanOptions, column_candidates
+from redactlake.operators import corpus, logs, metrics, requests, scans, traffic, whitelists
+from redactlake.operators.policies import apply_policies, apply_policies_as_of
 from redactlake.operators.restore import restore as restore_texts
+from redactlake.operators.restore import restore_bodies as restore_whole_bodies
 from redactlake.plans import planted
 from redactlake.sources import access_log, sinks, tables
 from redactlake.sources import policies as policy_source
@@ -53,9 +54,12 @@ def src_corpus(spark, sf_dir):
 
 @query
 def src_requests(spark, sf_dir):
-    bodies = planted.bodies(spark, sf_dir)
-    triaged = requests.triage(bodies)
-    return triaged.select("request_id", "kind", F.octet_length("body").cast("bigint").alias("n_bytes"))
+    """Bodies as bytes, every seventh one no UTF-8, written as a table and read again."""
+    path = sinks.shared_dir(spark, "requests")
+    _raw_bodies(spark, sf_dir).select(F.col("request_id").alias("id"), F.col("body").alias("payload")).write.parquet(path)
+    triaged = requests.triage(requests.quarantine(tables.read_requests(spark, path, "id", "payload")))
+    n_bytes = F.octet_length(F.coalesce("raw", F.encode("body", "utf-8"))).cast("bigint")
+    return triaged.select("request_id", "kind", "quarantined", n_bytes.alias("n_bytes"))
 
 
 @query
@@ -144,6 +148,27 @@ def whitelist_filter(spark, sf_dir):
     return scans.explode_findings(scanned).select(*FLAT, "placeholder")
 
 
+# tokens from orders: parts of addresses and numbers of which some occur, and many that don't
+TOKENS = """select case cast(o_orderkey % 5 as int) when 0 then concat('Kontakt.', o_orderkey % 3000, '@') when 1 then concat(' X', o_orderkey, ' ')
+ when 2 then concat('44', o_orderkey % 100000) when 3 then case when o_orderkey % 2 = 0 then '' else concat('ÖHR-', chr(cast(65 + o_orderkey % 26 as int))) end
+ else concat(o_orderkey, '.', o_orderstatus, '.example') end as token from {orders} where o_orderkey is not null
+ union all select '777' union all select '9!'"""
+
+
+@query
+def whitelist_table(spark, sf_dir):
+    """A white list as long as the table orders."""
+    path = sinks.shared_dir(spark, "candidates")
+    planted.corpus(spark, sf_dir).withColumn("candidates", column_candidates("text")).write.parquet(f"{path}/found")
+    found = spark.read.parquet(f"{path}/found")
+    tokens = spark.sql(TOKENS, orders=planted.read(spark, sf_dir, "orders"))
+    whitelists.scan_with_tokens(found, tokens).select("scan_id", "anonymised_text", "findings").write.parquet(f"{path}/scan")
+    sinks.remove(spark, f"{path}/found")
+    return spark.read.parquet(f"{path}/scan").select(
+        "scan_id", "anonymised_text", F.size("findings").cast("bigint").alias("n_findings")
+    )
+
+
 @query
 def merge_whitelists(spark, sf_dir):
     lists = planted.read(spark, sf_dir, "customer").selectExpr(
@@ -231,15 +256,18 @@ def body_triage(spark, sf_dir):
     return requests.triage(planted.bodies(spark, sf_dir)).select("request_id", "kind")
 
 
-@query
-def quarantine_invalid_utf8(spark, sf_dir):
-    raw = planted.bodies(spark, sf_dir).select(
+def _raw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted.bodies(spark, sf_dir).select(
         "request_id",
         F.when(F.col("request_id") % 7 == 0, F.concat(F.encode("body", "utf-8"), F.unhex(F.lit("C328"))))
         .otherwise(F.encode("body", "utf-8"))
         .alias("body"),
     )
-    split = requests.quarantine(raw)
+
+
+@query
+def quarantine_invalid_utf8(spark, sf_dir):
+    split = requests.quarantine(_raw_bodies(spark, sf_dir))
     return split.select("request_id", "quarantined", "body", F.hex("raw").alias("raw_hex"))
 
 
@@ -269,9 +297,10 @@ REGISTRY["mask_tool_inputs"] = _segments_at(r"\.input\.")
 REGISTRY["mask_raw_body"] = _segments_at("^body$")
 
 
-def _flat_summary(masked: DataFrame) -> DataFrame:
-    return requests.summarize(masked).select(
+def _flat_summary(masked: DataFrame, *keep: str) -> DataFrame:
+    return requests.summarize(masked, keep=keep).select(
         "request_id",
+        *keep,
         "pii_found",
         F.array_join("pii_types", ",").alias("pii_types"),
         F.array_join("placeholders", ",").alias("placeholders"),
@@ -280,6 +309,40 @@ def _flat_summary(masked: DataFrame) -> DataFrame:
     )
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.whole_masked_bodies(planted.bodies(spark, sf_dir))
+
+
+@query
+def masked_body(spark, sf_dir):
+    """Bodies that can be sent on."""
+    return _whole(spark, sf_dir).select("request_id", "kind", "masked_body")
+
+
+@query
+def request_findings(spark, sf_dir):
+    found = requests.request_findings(_masked(spark, sf_dir))
+    return found.select("request_id", "path", "pii_type", "start", "end", "text", "placeholder")
+
+
+@query
+def body_vault(spark, sf_dir):
+    return requests.body_vault(_masked(spark, sf_dir)).select("request_id", "path", "placeholder", "text")
+
+
+@query
+def restore_bodies(spark, sf_dir):
+    """Masked bodies and vault are written apart; every fifth request's vault lacks the entries with number 2."""
+    path, vault = sinks.shared_dir(spark, "masked-bodies"), sinks.shared_dir(spark, "body-vault")
+    _whole(spark, sf_dir).select("request_id", "masked_body", "scans").write.parquet(f"{path}/scan")
+    masked = spark.read.parquet(f"{path}/scan")
+    requests.body_vault(masked).where("request_id % 5 <> 0 or placeholder not like '%|_2]' escape '|'").write.parquet(vault)
+    restored = restore_whole_bodies(masked.select("request_id", "masked_body"), spark.read.parquet(vault))
+    restored.write.parquet(f"{path}/restored")
+    sinks.remove(spark, f"{path}/scan")
+    return spark.read.parquet(f"{path}/restored")
+
+
 @query
 def dry_run_report(spark, sf_dir):
     return _flat_summary(requests.dry_run(planted.bodies(spark, sf_dir)))
@@ -310,6 +373,30 @@ def policy_apply(spark, sf_dir):
     return _flat_summary(apply_policies(bodies, policies.withColumn("port", F.col("port").cast("int"))))
 
 
+# three versions of a port's policy, a day apart; some have a fourth at the time of the third, one port's second is withdrawn
+VERSIONS = """select cast(8000 + n_nationkey as int) as port, v as version,
+ timestamp_seconds(1704067200 + least(v, 2) * 86400 + n_nationkey * 3600) as valid_from,
+ case when n_nationkey = 9 and v = 1 then null else case cast((n_nationkey + v) % 5 as int) when 0 then cast(array() as array<string>) when 1 then array('EMAIL')
+  when 2 then array('iban', 'SECRET') when 3 then array('PHONE', 'URL_SECRET', 'ADDRESS') else array('EMAIL', 'KVNR') end end as detectors,
+ case when n_nationkey = 9 and v = 1 then null when (n_nationkey + v) % 2 = 0 then array('firma1', 'ZÜRICH') else cast(array() as array<string>) end as whitelist,
+ case when n_nationkey = 9 and v = 1 then null else (n_nationkey + v) % 6 = 5 end as dry_run
+ from {nation} lateral view explode(sequence(0, case when n_nationkey % 4 = 0 then 3 else 2 end)) as v"""
+
+
+@query
+def policy_as_of(spark, sf_dir):
+    """Half of all requests come through one port."""
+    versions = spark.sql(VERSIONS, nation=planted.read(spark, sf_dir, "nation"))
+    bodies = planted.bodies(spark, sf_dir).selectExpr(
+        "request_id",
+        "cast(case when conv_id % 2 = 0 then 8008 else 8000 + conv_id % 27 end as int) as port",
+        "timestamp_seconds(1704067200 + request_id * 7919 % 300000) as ts",
+        "body",
+    )
+    masked = apply_policies_as_of(bodies, versions)
+    return _flat_summary(masked, "version")
+
+
 @query
 def default_policy_fallback(spark, sf_dir):
     rows = planted.corpus(spark, sf_dir).selectExpr(
@@ -418,11 +505,15 @@ def rate_admit(spark, sf_dir):
     return traffic.admit(_burst(spark, sf_dir)).select("seq", "rate_key", "admitted")
 
 
+# one policy document per nation, with a key, an empty hash, or a key without hash
+KEY_JSON = """concat('{"api_port": 9000, "proxies": [], "api_keys": [{"id": "k', n_nationkey, '", "name": "', n_name, '", "hash": "',
+ case when n_nationkey % 3 = 0 then '' else sha2(concat('key-', n_nationkey), 256) end, '", "hint": "…"}, {"id": "old", "name": "none"}]}')"""
+
+
 @query
 def api_key_admit(spark, sf_dir):
-    keys = planted.read(spark, sf_dir, "nation").selectExpr(
-        "case when n_nationkey % 3 = 0 then '' else sha2(concat('key-', n_nationkey), 256) end as hash"
-    )
+    documents = planted.read(spark, sf_dir, "nation").selectExpr(f"{KEY_JSON} as json")
+    keys = policy_source.api_keys(documents)
     calls = _calls(spark, sf_dir).withColumn("key", traffic.presented_key(F.col("api_key"), F.col("auth")))
     return traffic.admit_keys(calls, keys).select("seq", "admitted")
 
@@ -546,6 +637,32 @@ def corpus_pseudonyms(spark, sf_dir):
     return corpus.pseudonyms(_findings(spark, sf_dir))
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
+    """The scanned corpus and its numbered pseudonyms, both written."""
+    path = sinks.shared_dir(spark, "pseudonyms")
+    _scanned(spark, sf_dir).select("scan_id", "text", "findings").write.parquet(f"{path}/scan")
+    scanned = spark.read.parquet(f"{path}/scan")
+    found = scans.explode_findings(scanned).select("scan_id", "pii_type", "start", "text")
+    corpus.first_places(found).write.parquet(f"{path}/places")
+    corpus.numbered_pseudonyms(spark.read.parquet(f"{path}/places")).write.parquet(f"{path}/names")
+    return scanned, spark.read.parquet(f"{path}/names"), path
+
+
+@query
+def corpus_numbered_pseudonyms(spark, sf_dir):
+    _, names, path = _numbered(spark, sf_dir)
+    sinks.remove(spark, f"{path}/scan")
+    return names
+
+
+@query
+def corpus_masked_by_pseudonyms(spark, sf_dir):
+    scanned, names, path = _numbered(spark, sf_dir)
+    corpus.mask_by_pseudonyms(scanned, names).select("scan_id", "masked_text").write.parquet(f"{path}/masked")
+    sinks.remove(spark, f"{path}/scan")
+    return spark.read.parquet(f"{path}/masked")
+
+
 @query
 def corpus_shared_values(spark, sf_dir):
     return corpus.shared_values(_findings(spark, sf_dir))
