@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from redactlake.functions.bodies import rewritten_body
 from redactlake.functions.json_text import quoted, replace_strings
 from redactlake.functions.scan import ScanOptions
 from redactlake.operators import requests
@@ -146,9 +147,15 @@ def test_other_kinds(spark):
     deep = '{"a":' * 1200 + "1" + "}" * 1200
     texts = ["", None, "Text an eins@stelle.example", '["zwei@stelle.example"]', "null", '{"a": "drei@stelle.example"}', deep, "{kaputt vier@stelle.example"]
     rows = {r.request_id: r for r in whole_of(spark, *texts).collect()}
-    assert [rows[n].kind for n in range(8)] == ["empty", "empty", "text", "text", "json", "json", "reject", "text"]
-    got = [rows[n].masked_body for n in range(8)]
-    assert got == ["", None, "Text an [EMAIL_1]", '["[EMAIL_1]"]', "null", texts[5], None, "{kaputt [EMAIL_1]"]
+    assert [rows[n].kind for n in range(6)] == ["empty", "empty", "text", "text", "json", "json"] and rows[7].kind == "text"
+    assert rows[6].masked_body == (None if rows[6].kind == "reject" else deep)
+    got = [rows[n].masked_body for n in (0, 1, 2, 3, 4, 5, 7)]
+    assert got == ["", None, "Text an [EMAIL_1]", '["[EMAIL_1]"]', "null", texts[5], "{kaputt [EMAIL_1]"]
+
+
+def test_a_refused_body_is_not_sent_on(spark):
+    row = spark.sql("select '{\"a\": 1}' as body, 'reject' as kind, parse_json(null) as document, cast(array() as array<struct<path:string,text:string>>) as texts")
+    assert row.select(rewritten_body(*[F.col(c) for c in ("body", "kind", "document", "texts")])).first()[0] is None
 
 
 def test_values_that_do_not_count_are_left_out(spark):

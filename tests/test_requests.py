@@ -87,7 +87,7 @@ def test_tool_inputs_at_any_depth(spark):
         deep = {"next": deep, "list": ["no@example.com", {"in": "list@example.com"}]}
     found, _ = run(spark, body(user([{"type": "tool_use", "input": {"a.b": "a@example.com", "n": 5, "o": deep}}])))
     start = "messages[0].content[0].input"
-    assert found == {f"{start}.a.b": "[EMAIL_1]", f"{start}.o" + ".next" * 14 + ".leaf": "[EMAIL_1]"}
+    assert found == {f'{start}["a.b"]': "[EMAIL_1]", f"{start}.o" + ".next" * 14 + ".leaf": "[EMAIL_1]"}
 
 
 def test_string_that_looks_like_blocks(spark):
