@@ -6,9 +6,10 @@ linked pair has a part in common: sets of one band and with one part in common a
 n-grams by chance, so that frequent n-grams don't matter.
 
 Tiles of a few sets give all their pairs. Larger ones first give the pairs of each set with the tile's first set and with its
-predecessor; when these links are known, only sets of different components are still compared, in blocks. A pair is first
-judged by hashed bitmaps: the number of differing bits bounds the difference from below, hence the overlap from above. Pairs
-that pass are intersected as sorted arrays. No link between different sets is lost.
+predecessor; when these links are known, only sets of different components are still compared, in blocks, each of which gives out
+a spanning forest of the links it finds. A pair is first judged by hashed bitmaps: the number of differing bits bounds the
+difference from below, hence the overlap from above. Pairs that pass are intersected as sorted arrays. No link that joins
+different components is lost, and a group of near copies gives links in proportion to its sets, not to its pairs.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from redactlake.llm.store import Scratch
 from redactlake.llm.texts import encoded, slices
 
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Sets of a tile that give all their pairs; sets in a block of a larger one.
-SMALL_TILE, TARGETS, PROBES = 8, 4096, 1024
+#: Sets of a tile that give all their pairs; n-grams that the targets and the probes in a block of a larger one have, about.
+SMALL_TILE, TARGETS, PROBES = 8, 1 << 19, 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -269,27 +270,47 @@ def _intersected(rule: Rule):
     return intersect
 
 
+def _overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams of a sorted array each of some others has; none is empty."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def spanning(sets: list[np.ndarray], labels: np.ndarray, probe: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Links (positions) of a probe and a target of different components that join all components which such links join.
+
+    Bitmaps bound first, sorted arrays decide. Each link given out joins two components of the block, so that there are fewer links
+    than components.
+    """
+    labels, out = labels.copy(), []
+    maps = [bitmap(own) for own in sets]
+    width = min(map(len, maps), default=8)
+    bits = np.array([folded(own, width) for own in maps]).view(np.uint64)
+    sizes = np.array([len(own) for own in sets], np.int64)
+    targets = np.flatnonzero(~probe)
+    for p in np.flatnonzero(probe).tolist():
+        apart = targets[labels[targets] != labels[p]]
+        differ = np.bitwise_count(bits[apart] ^ bits[p]).sum(1, dtype=np.int64)
+        near = apart[differ * (100 + rule.percent) <= (100 - rule.percent) * (sizes[apart] + sizes[p])]
+        if not len(near):
+            continue
+        both = _overlaps(sets[p], [sets[t] for t in near.tolist()])
+        for t in near[100 * both >= rule.percent * (sizes[near] + sizes[p] - both)].tolist():
+            if labels[t] != labels[p]:
+                out.append((p, t))
+                labels[labels == labels[t]] = labels[p]
+    return out
+
+
 def _crossed(rule: Rule):
-    """Of one block of a large tile, the pairs of a probe and a target of different components whose bitmaps allow a link."""
+    """One block of a large tile to the links that join its components."""
 
     def cross(group: pa.Table) -> pa.Table:
-        bits = group.column("bits").to_pylist()
-        width = min(map(len, bits), default=8)
-        maps = np.array([folded(own, width) for own in bits])
-        maps = maps.view(np.uint64) if width % 8 == 0 else maps
-        ids, labels, sizes = (group.column(c).to_numpy() for c in ("rep", "label", "n"))
-        probes = np.flatnonzero(group.column("probe").to_numpy())
-        targets = np.flatnonzero(~group.column("probe").to_numpy())
-        low, high = [], []
-        for p in probes.tolist():
-            differ = np.bitwise_count(maps[targets] ^ maps[p]).sum(1, dtype=np.int64)
-            near = differ * (100 + rule.percent) <= (100 - rule.percent) * (sizes[targets] + sizes[p])
-            near &= labels[targets] != labels[p]
-            found = ids[targets[near]]
-            low.append(np.minimum(found, ids[p]))
-            high.append(np.maximum(found, ids[p]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *low]), "b": np.concatenate([none, *high])})
+        sets = [ngram_set(text, rule.length) for column in group.column("text").chunks for text in encoded(column)]
+        ids, labels, probe = (group.column(c).to_numpy() for c in ("rep", "label", "probe"))
+        links = np.array(spanning(sets, labels, probe, rule), np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[links].min(1), "b": ids[links].max(1)})
 
     return cross
 
@@ -354,16 +375,18 @@ def ngram_links(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFram
     labels = components(links, scratch, "first")
     labelled = members.join(labels, members["rep"] == labels["id"], "left").select(
         "tile", "rep", F.coalesce("component", "rep").alias("label")
-    )
-    by_label = labelled.groupBy("tile", "label").count()
+    ).join(texts.select("rep", "n"), "rep")
+    by_label = labelled.groupBy("tile", "label").agg(F.count("*").alias("count"), F.sum("n").alias("grams"))
+    main = F.max_by(F.struct("label", "grams", "count"), F.struct("count", "label")).alias("main")
     opened = scratch.keep(
         by_label.groupBy("tile")
-        .agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("size"), F.max("count").alias("of_main"))
-        .where("size > of_main"),
+        .agg(main, F.sum("count").alias("size"), F.sum("grams").alias("grams"))
+        .where("size > main.count")
+        .select("tile", F.col("main.label").alias("main"), "size", "grams", (F.col("grams") - F.col("main.grams")).alias("others")),
         "opened",
     )
-    blocks = F.ceil(F.col("size") / TARGETS)
-    probe_blocks = F.ceil((F.col("size") - F.col("of_main")) / PROBES)
+    blocks = F.least(F.ceil(F.col("grams") / TARGETS), F.col("size"))
+    probe_blocks = F.least(F.ceil(F.col("others") / PROBES), F.col("size"))
     own, all_of = F.xxhash64("rep"), lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
     placed = labelled.join(opened, "tile")
     targets = placed.select("tile", "rep", "label", F.pmod(own, blocks).alias("block"), probe_blocks.alias("k"))
@@ -372,11 +395,11 @@ def ngram_links(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFram
     probes = probes.select("tile", all_of(F.col("k")).alias("block"), "probe_block", "rep", "label", F.lit(True).alias("probe"))
     crossing = (
         targets.unionByName(probes)
-        .join(texts.select("rep", "n", "bits"), "rep")
+        .join(texts.select("rep", "text"), "rep")
         .groupBy("tile", "block", "probe_block")
         .applyInArrow(_crossed(rule), "a bigint, b bigint")
     )
-    late = linked(scratch.keep(crossing.distinct(), "crossing"), "late")
+    late = scratch.keep(crossing.distinct(), "late")
     final = components(late.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch, "final")
     placed_classes = scratch.keep(
         reps.select("print", "rep").join(final, F.col("rep") == F.col("id"), "left").select(

@@ -82,13 +82,65 @@ def plain_links(rows, length, percent):
 @pytest.mark.parametrize(("length", "percent", "small"), [(3, 90, 8), (5, 80, 2), (2, 50, 3)])
 def test_ngram_links(monkeypatch, make, awkward, length, percent, small):
     monkeypatch.setattr(ngram_join, "SMALL_TILE", small)
-    monkeypatch.setattr(ngram_join, "TARGETS", 8)
-    monkeypatch.setattr(ngram_join, "PROBES", 4)
+    monkeypatch.setattr(ngram_join, "TARGETS", 3000)
+    monkeypatch.setattr(ngram_join, "PROBES", 1500)
     got = tuples(ngram_links(make(awkward), length, percent))
     assert got == sorted(plain_links(awkward, length, percent), key=str)
     assert any(row[2] != row[0] for row in got)
 
 
+@pytest.mark.parametrize(("targets", "probes"), [(1 << 19, 1 << 18), (6000, 3000)])
+def test_one_large_group_of_near_copies(spark, make, monkeypatch, targets, probes):
+    """500 texts at some 80 % of each other: links are whole, and those between components stay fewer than the sets of the blocks."""
+    monkeypatch.setattr(ngram_join, "TARGETS", targets)
+    monkeypatch.setattr(ngram_join, "PROBES", probes)
+    draw = np.random.default_rng(12)
+    base = [f"w{n}" for n in range(120)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for at in draw.choice(120, draw.integers(1, 4), replace=False):
+            words[at] = f"x{draw.integers(10_000)}"
+        rows.append((i, " ".join(words), "en", "a"))
+    made = []
+    block = ngram_join._crossed
+
+    def counted(rule):
+        made.append(rule)
+        return block(rule)
+
+    monkeypatch.setattr(ngram_join, "_crossed", counted)
+    got = tuples(ngram_links(make(rows), 5, 80))
+    assert made and got == sorted(plain_links(rows, 5, 80), key=str)
+    assert 1 < len({row[2] for row in got}) < 500
+
+
+def test_blocks_give_a_spanning_forest():
+    draw = np.random.default_rng(13)
+    rule = Rule(5, 80)
+    base = np.unique(draw.integers(0, 1 << 63, 60).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[draw.random(len(base)) > 0.1], draw.integers(0, 1 << 63, 3).astype(np.uint64)])) for _ in range(80)]
+    probe = np.arange(80) % 4 == 0
+    labels = np.arange(80) // 2
+    links = ngram_join.spanning(sets, labels, probe, rule)
+    parents = [list(range(40)), list(range(40))]
+
+    def top(parent, i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for p, t in links:
+        assert probe[p] and not probe[t] and rule.linked(sets[p], sets[t])
+        parents[0][top(parents[0], labels[p])] = top(parents[0], labels[t])
+    for p in np.flatnonzero(probe):
+        for t in np.flatnonzero(~probe):
+            if rule.linked(sets[p], sets[t]):
+                parents[1][top(parents[1], labels[p])] = top(parents[1], labels[t])
+    groups = [{frozenset(i for i in range(40) if top(parent, i) == top(parent, j)) for j in range(40)} for parent in parents]
+    assert groups[0] == groups[1] and len(links) == 40 - len(groups[0]) < 40
+
+
 def test_signatures_keep_every_linked_pair():
     draw = np.random.default_rng(3)
     for percent in (60, 80, 90):
