@@ -6,8 +6,8 @@ linked pair has a part in common: sets of one band and with one part in common a
 n-grams by chance, so that frequent n-grams don't matter.
 
 Tiles of a few sets give all their pairs. Larger ones first give the pairs of each set with the tile's first set and with its
-predecessor; when these links are known, only sets of different components are still compared, in blocks, each of which gives out
-a spanning forest of the links it finds. A pair is first judged by hashed bitmaps: the number of differing bits bounds the
+predecessor; when these links are known, only sets of different components are still compared, in blocks: first by bitmaps alone,
+then the sets that may link by their texts; each block gives out a spanning forest of the links it finds. A pair is first judged by hashed bitmaps: the number of differing bits bounds the
 difference from below, hence the overlap from above. Pairs that pass are intersected as sorted arrays. No link that joins
 different components is lost, and a group of near copies gives links in proportion to its sets, not to its pairs.
 """
@@ -280,31 +280,50 @@ def _overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 def spanning(sets: list[np.ndarray], labels: np.ndarray, probe: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
     """Links (positions) of a probe and a target of different components that join all components which such links join.
 
-    Bitmaps bound first, sorted arrays decide. Each link given out joins two components of the block, so that there are fewer links
-    than components.
+    Each link given out joins two components of the block, so that there are fewer links than components.
     """
     labels, out = labels.copy(), []
-    maps = [bitmap(own) for own in sets]
-    width = min(map(len, maps), default=8)
-    bits = np.array([folded(own, width) for own in maps]).view(np.uint64)
     sizes = np.array([len(own) for own in sets], np.int64)
     targets = np.flatnonzero(~probe)
     for p in np.flatnonzero(probe).tolist():
         apart = targets[labels[targets] != labels[p]]
-        differ = np.bitwise_count(bits[apart] ^ bits[p]).sum(1, dtype=np.int64)
-        near = apart[differ * (100 + rule.percent) <= (100 - rule.percent) * (sizes[apart] + sizes[p])]
-        if not len(near):
+        fit = rule.percent * np.maximum(sizes[apart], sizes[p]) <= 100 * np.minimum(sizes[apart], sizes[p])
+        apart = apart[fit]
+        if not len(apart):
             continue
-        both = _overlaps(sets[p], [sets[t] for t in near.tolist()])
-        for t in near[100 * both >= rule.percent * (sizes[near] + sizes[p] - both)].tolist():
+        both = _overlaps(sets[p], [sets[t] for t in apart.tolist()])
+        for t in apart[100 * both >= rule.percent * (sizes[apart] + sizes[p] - both)].tolist():
             if labels[t] != labels[p]:
                 out.append((p, t))
                 labels[labels == labels[t]] = labels[p]
     return out
 
 
+MEMBER = "tile bigint, block bigint, probe_block bigint, rep bigint, label bigint, probe boolean"
+
+
+def _involved(rule: Rule):
+    """Of one block of a large tile the members that may link with one of another component, as far as bitmaps can tell."""
+
+    def involve(group: pa.Table) -> pa.Table:
+        bits = group.column("bits").to_pylist()
+        width = min(map(len, bits), default=8)
+        maps = np.array([folded(own, width) for own in bits]).view(np.uint64)
+        labels, sizes, probe = (group.column(c).to_numpy() for c in ("label", "n", "probe"))
+        targets, found = np.flatnonzero(~probe), np.zeros(len(bits), bool)
+        for p in np.flatnonzero(probe).tolist():
+            differ = np.bitwise_count(maps[targets] ^ maps[p]).sum(1, dtype=np.int64)
+            near = differ * (100 + rule.percent) <= (100 - rule.percent) * (sizes[targets] + sizes[p])
+            near &= labels[targets] != labels[p]
+            found[targets[near]] = True
+            found[p] = near.any()
+        return group.filter(pa.array(found)).select([field.split()[0] for field in MEMBER.split(", ")])
+
+    return involve
+
+
 def _crossed(rule: Rule):
-    """One block of a large tile to the links that join its components."""
+    """The members of a block that may link to the links that join its components."""
 
     def cross(group: pa.Table) -> pa.Table:
         sets = [ngram_set(text, rule.length) for column in group.column("text").chunks for text in encoded(column)]
@@ -393,11 +412,11 @@ def ngram_links(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFram
     targets = targets.select("tile", "block", all_of(F.col("k")).alias("probe_block"), "rep", "label", F.lit(False).alias("probe"))
     probes = placed.where("label != main").select("tile", "rep", "label", F.pmod(own, probe_blocks).alias("probe_block"), blocks.alias("k"))
     probes = probes.select("tile", all_of(F.col("k")).alias("block"), "probe_block", "rep", "label", F.lit(True).alias("probe"))
+    cell = ["tile", "block", "probe_block"]
+    judged = targets.unionByName(probes).join(texts.select("rep", "n", "bits"), "rep").groupBy(*cell)
+    involved = scratch.keep(judged.applyInArrow(_involved(rule), MEMBER), "involved")
     crossing = (
-        targets.unionByName(probes)
-        .join(texts.select("rep", "text"), "rep")
-        .groupBy("tile", "block", "probe_block")
-        .applyInArrow(_crossed(rule), "a bigint, b bigint")
+        involved.join(texts.select("rep", "text"), "rep").groupBy(*cell).applyInArrow(_crossed(rule), "a bigint, b bigint")
     )
     late = scratch.keep(crossing.distinct(), "late")
     final = components(late.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch, "final")
