@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from redactlake import fixed_values as fv
 from redactlake.plans import planted
-from redactlake.plans.queries import CALLS, ENTRIES, POLICY_JSON, TOKENS, TOP_DOCUMENTS, WHITELIST
+from redactlake.plans.queries import CALLS, ENTRIES, POLICY_JSON, TOKENS, TOP_DOCUMENTS, WAVE, WHITELIST
 
 
 BOUNDARY = r"\b"
@@ -564,6 +564,8 @@ from entries group by rollup(source, path, status)"""
     out["sink_findings"] = on_corpus('select scan_id, pii_type, start, "end", text, placeholder from placed')
     out["sink_redacted"] = on_corpus("select scan_id, anonymised_text, n_findings from masked")
     out["sink_mapping"] = out["placeholder_map"]
+    out["sink_repeated"] = on_corpus("select 'part-' || (scan_id % 3) as batch, scan_id, anonymised_text, n_findings from masked")
+    out["findings_flat"] = on_corpus(f"select {FLAT}, placeholder from placed")
     out["sink_access_log"] = f"with {LINES} select {LOG_TEXT} as line from entries"
     out["sink_metrics"] = on_bodies(EXPOSITION).replace(EXPOSITION, f",\n{TYPE_ENTRIES}\nselect line from ({EXPOSITION})")
     out["stream_scan"] = out["sink_redacted"]
@@ -578,6 +580,14 @@ from entries group by rollup(source, path, status)"""
     event_texts = f"corpus as materialized (select event_id as scan_id, ts, {planted.sentence('event_id')} as text from events)"
     out["stream_metrics"] = f"""with recursive {event_texts},\n{scan_ctes()}
 select date_trunc('minute', e.ts) as minute, p.pii_type, count(*) as n from placed p join corpus e on e.scan_id = p.scan_id group by 1, 2"""
+    out["stream_windows"] = f"""with recursive {event_texts},\n{scan_ctes()},
+waves as (select event_id, ts, {WAVE} as wave from events),
+lasts as (select wave, max(ts) as last from waves group by wave),
+marks as (select wave, max(last) over (order by wave rows between unbounded preceding and 1 preceding) - interval 10 minutes as mark from lasts),
+told as (select date_trunc('minute', w.ts) as minute, p.pii_type, coalesce(date_trunc('minute', w.ts) + interval 1 minute <= m.mark, false) as is_late
+  from placed p join waves w on w.event_id = p.scan_id join marks m on m.wave = w.wave)
+select minute, pii_type, count(*) filter (where not is_late) as n, count(*) filter (where is_late) as late,
+  minute + interval 1 minute <= (select max(ts) from events) - interval 10 minutes as closed from told group by minute, pii_type"""
     out["corpus_pii_profile"] = on_corpus(
         "select d.lang, p.pii_type, grouping(d.lang, p.pii_type)::int as level, count(*) as findings, count(distinct p.scan_id) as docs "
         "from placed p join documents d on d.doc_id = p.scan_id group by cube(d.lang, p.pii_type)"
@@ -589,6 +599,11 @@ select date_trunc('minute', e.ts) as minute, p.pii_type, count(*) as n from plac
     out["corpus_shared_values"] = on_corpus(
         "select pii_type, text, count(distinct scan_id) as docs from placed group by pii_type, text having count(distinct scan_id) > 1"
     )
+    out["corpus_shared_sketches"] = on_corpus(
+        "select pii_type, text, count(distinct scan_id) as docs, count(distinct day) as days from (select pii_type, text, scan_id, "
+        "unnest(case when scan_id % 3 = 0 then [scan_id % 5, scan_id % 5 + 1] else [scan_id % 5] end) as day from placed) "
+        "where day between 1 and 4 group by pii_type, text having count(distinct scan_id) > 1"
+    )
     out["corpus_top_docs"] = on_corpus(
         f"select scan_id, count(*) as n_findings from placed group by scan_id order by n_findings desc, scan_id limit {TOP_DOCUMENTS}"
     )

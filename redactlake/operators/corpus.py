@@ -104,6 +104,27 @@ def shared_values(findings: DataFrame, key: str = "scan_id", least: int = 2) ->
     return counted.where(F.col("docs") >= least)
 
 
+#: Sketches of 2^16 registers: counts up to 6,000 come out exactly but for collisions of 26-bit hashes, larger ones with a standard error of
+#: 0.41 % (1.04 / sqrt(2^16)); a sketch grows with its count up to 64 KB.
+SKETCH_BITS = 16
+
+
+def value_sketches(findings: DataFrame, day: str = "day", key: str = "scan_id", bits: int = SKETCH_BITS) -> DataFrame:
+    """Which documents hold a value, by day, as mergeable sketches: day, pii_type, text, sketch. Written once a day, the table answers for
+    any range of days without the findings; a document that comes on several days counts once. A value in very many documents is
+    summed up in every partition before it is shuffled, as one sketch."""
+    hashed = F.xxhash64(F.col(key))
+    return findings.groupBy(day, "pii_type", "text").agg(F.hll_sketch_agg(hashed, F.lit(bits)).alias("sketch"))
+
+
+def shared_by_sketches(sketches: DataFrame, least: int = 2) -> DataFrame:
+    """Texts found in several documents: pii_type, text, docs (estimated), days. ``sketches``: the days that are asked for."""
+    merged = sketches.groupBy("pii_type", "text").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("docs"), F.count("*").alias("days")
+    )
+    return merged.where(F.col("docs") >= least)
+
+
 def top_documents(findings: DataFrame, k: int, key: str = "scan_id") -> DataFrame:
     """The ``k`` documents with most findings, the smaller key first: key, n_findings."""
     counted = findings.groupBy(key).agg(F.count("*").alias("n_findings"))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from redactlake import fixed_values as fv
 from redactlake.functions import spans
 from redactlake.functions.scan import ScanOptions, column_candidates
-from redactlake.operators import corpus, logs, metrics, requests, scans, traffic, whitelists
+from redactlake.operators import corpus, flat, logs, metrics, requests, scans, traffic, whitelists
 from redactlake.operators.policies import apply_policies, apply_policies_as_of
 from redactlake.operators.restore import restore as restore_texts
 from redactlake.operators.restore import restore_bodies as restore_whole_bodies
 from redactlake.plans import planted
-from redactlake.sources import access_log, sinks, tables
+from redactlake.sources import access_log, batches, sinks, tables
 from redactlake.sources import policies as policy_source
 from redactlake.streaming import jobs
 
@@ -190,6 +190,19 @@ def assign_placeholders(spark, sf_dir):
     return scans.explode_findings(_scanned(spark, sf_dir)).select("scan_id", "start", "text", "placeholder")
 
 
+@query
+def findings_flat(spark, sf_dir):
+    """Candidates of two engines as one table, resolved and numbered without going back to the texts."""
+    texts = planted.corpus(spark, sf_dir)
+    halves = [fv.PII_TYPES[::2], fv.PII_TYPES[1::2]]
+    found = [scans.candidates(texts, detectors=half) for half in halves]
+    path = sinks.shared_dir(spark, "candidates")
+    found[0].unionByName(found[1]).write.parquet(f"{path}/found")
+    flat.resolve_flat(spark.read.parquet(f"{path}/found")).write.parquet(f"{path}/resolved")
+    sinks.remove(spark, f"{path}/found")
+    return flat.number_flat(spark.read.parquet(f"{path}/resolved")).select(*FLAT, "placeholder")
+
+
 @query
 def redact(spark, sf_dir):
     return _scanned(spark, sf_dir).select("scan_id", "anonymised_text")
@@ -542,6 +555,22 @@ def sink_mapping(spark, sf_dir):
     return spark.read.parquet(path).select("scan_id", "placeholder", "text")
 
 
+@query
+def sink_repeated(spark, sf_dir):
+    """Three batches, one of them written with other rows before, another broken off once and then repeated."""
+    path, scratch = sinks.shared_dir(spark, "repeated"), sinks.shared_dir(spark, "scan")
+    _scanned(spark, sf_dir).select("scan_id", "anonymised_text", "findings").write.parquet(scratch)
+    scanned = spark.read.parquet(scratch)
+    part = lambda n: scanned.where(F.col("scan_id") % 3 == n)
+    sinks.write_redacted(scanned.where("scan_id % 3 > 0"), path, batch="part-1")
+    batches.write_attempt(part(2).select("scan_id", "anonymised_text", F.lit(-1).alias("n_findings")), path)
+    for n in (0, 1, 2, 2):
+        sinks.write_redacted(part(n), path, batch=f"part-{n}")
+    sinks.remove(spark, scratch)
+    rows = batches.read_batches(spark, path)
+    return rows.select("batch", "scan_id", "anonymised_text", F.col("n_findings").cast("bigint").alias("n_findings"))
+
+
 @query
 def sink_access_log(spark, sf_dir):
     path = sinks.shared_dir(spark, "access-log")
@@ -564,12 +593,6 @@ def _stream_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.selectExpr("doc_id as scan_id", f"{planted.CORPUS_TEXT} as text")
 
 
-def _finished(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
-    path = sinks.shared_dir(spark, purpose)
-    jobs.write_stream(df, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out")
-
-
 @query
 def stream_scan(spark, sf_dir):
     path = sinks.shared_dir(spark, "stream-scan")
@@ -590,10 +613,30 @@ def stream_metrics(spark, sf_dir):
     return jobs.read_counts(spark, f"{path}/out")
 
 
+# events arrive in waves of about ten days; every thirteenth is a wave late
+WAVE = "case when day(ts) <= 10 then 0 when day(ts) <= 20 then 1 else 2 end + case when event_id % 13 = 0 then 1 else 0 end"
+WAVES = 4
+
+
+@query
+def stream_windows(spark, sf_dir):
+    """Windows by event time of a stream that runs once per wave, with late findings counted apart."""
+    path = sinks.shared_dir(spark, "stream-windows")
+    events = planted.read(spark, sf_dir, "events").select("event_id", "ts", F.expr(WAVE).alias("wave"))
+    for wave in range(WAVES):
+        events.where(F.col("wave") == wave).write.mode("append").parquet(f"{path}/arrived")
+        arrived = jobs.read_stream(spark, f"{path}/arrived", "*.parquet")
+        texts = arrived.selectExpr("cast(ts as timestamp) as ts", f"{planted.sentence('event_id')} as text")
+        jobs.write_counts(texts, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return jobs.read_windows(spark, f"{path}/out")
+
+
 @query
 def stream_rate(spark, sf_dir):
     calls = spark.sql(BURST, events=jobs.read_stream(spark, sf_dir, "events.parquet"))
-    return _finished(spark, jobs.admit_stream(calls), "stream-rate").select("seq", "rate_key", "admitted")
+    path = sinks.shared_dir(spark, "stream-rate")
+    jobs.write_admitted(calls, path, f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/verdicts").select("seq", "rate_key", "admitted")
 
 
 @query
@@ -668,6 +711,17 @@ def corpus_shared_values(spark, sf_dir):
     return corpus.shared_values(_findings(spark, sf_dir))
 
 
+@query
+def corpus_shared_sketches(spark, sf_dir):
+    """Documents come on one of five days, every third one again on the day after; sketches of four days are merged."""
+    path = sinks.shared_dir(spark, "sketches")
+    found = _findings(spark, sf_dir)
+    days = F.when(F.col("scan_id") % 3 == 0, F.array(F.col("scan_id") % 5, F.col("scan_id") % 5 + 1)).otherwise(F.array(F.col("scan_id") % 5))
+    daily = found.withColumn("day", F.explode(days))
+    corpus.value_sketches(daily).write.partitionBy("day").parquet(path)
+    return corpus.shared_by_sketches(spark.read.parquet(path).where("day between 1 and 4"))
+
+
 @query
 def corpus_top_docs(spark, sf_dir):
     return corpus.top_documents(_findings(spark, sf_dir), TOP_DOCUMENTS)

@@ -62,5 +62,10 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_log(lines)
 
 
-def write_log(entries: DataFrame, path: str) -> None:
-    format_log(entries).select("value").write.mode("append").text(path)
+def write_log(entries: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append lines; a batch has a folder of its own that is written anew when the batch is repeated."""
+    lines = format_log(entries).select("value")
+    if batch is None:
+        lines.write.mode("append").text(path)
+    else:
+        lines.write.mode("overwrite").text(f"{path}/batch={batch}")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactlake.operators.scans import explode_findings, placeholder_map
+from redactlake.sources.batches import write_batch
 
 
 #: Spreads a frequent type over this many tasks and files.
@@ -26,23 +27,31 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def write_findings(scanned: DataFrame, path: str, key: str = "scan_id", text: bool = True) -> None:
-    """Findings, in one folder per type, of at most FILES_PER_TYPE files each."""
+def _write(rows: DataFrame, path: str, batch: str | None, partition_by: tuple[str, ...] = ()) -> None:
+    """Append; or, with a batch, take the place of what the batch had before (``batches.read_batches`` reads it)."""
+    if batch is None:
+        rows.write.mode("append").partitionBy(*partition_by).parquet(path)
+    else:
+        write_batch(rows, path, batch, partition_by)
+
+
+def write_findings(scanned: DataFrame, path: str, key: str = "scan_id", text: bool = True, batch: str | None = None) -> None:
+    """Findings, in one folder per type, of at most FILES_PER_TYPE files each. A job that may run again names its batch."""
     rows = explode_findings(scanned, key)
     rows = rows if text else rows.drop("text")
     dealt = rows.repartition("pii_type", F.pmod(F.xxhash64(key), F.lit(FILES_PER_TYPE)))
-    dealt.write.mode("append").partitionBy("pii_type").parquet(path)
+    _write(dealt, path, batch, ("pii_type",))
 
 
-def write_redacted(scanned: DataFrame, path: str, key: str = "scan_id") -> None:
+def write_redacted(scanned: DataFrame, path: str, key: str = "scan_id", batch: str | None = None) -> None:
     """Masked texts."""
     redacted = scanned.select(key, "anonymised_text", F.size("findings").alias("n_findings"))
-    redacted.write.mode("append").parquet(path)
+    _write(redacted, path, batch)
 
 
-def write_mapping(scanned: DataFrame, path: str, key: str = "scan_id") -> None:
+def write_mapping(scanned: DataFrame, path: str, key: str = "scan_id", batch: str | None = None) -> None:
     """The vault: what stands behind the placeholders."""
-    placeholder_map(scanned, key).write.mode("append").parquet(path)
+    _write(placeholder_map(scanned, key), path, batch)
 
 
 def write_metrics(exposition: DataFrame, path: str) -> None:
