@@ -103,7 +103,9 @@ def test_clauses_and_not_words_are_scored():
     kinds = lambda text: [kind for kind, _ in grammar.clause(text.split())]
     assert kinds("you buffoon") == ["insult_target"] and kinds("a buffoon") == ["insult"]
     assert kinds("you are not a buffoon") == ["insult_negated"] and kinds("they said buffoon") == ["insult_reported"]
-    assert kinds("kill you") == ["threat_target"] and kinds("never kill") == [] and kinds("nothing here") == []
+    assert kinds("kill you") == ["threat_target"] and kinds("never kill") == ["threat_negated"] and kinds("nothing here") == []
+    assert kinds("buffoon they are") == ["insult_target"] and kinds("said they kill") == ["threat_reported"]
+    assert kinds("buffoon said not you vermin") == ["insult_target", "insult_negated"]
     assert kinds("verminous") == ["insult"] and kinds("buffoons") == []
     assert grammar.features("").tolist()[1:] == [0.0] * (len(grammar.features("")) - 1)
 
