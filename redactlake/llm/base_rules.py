@@ -11,7 +11,7 @@ LEAST_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int, bool]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    words, plain = text.split(), text.decode()
+    words, plain = text.split(), text.decode(errors="replace")
     word_chars = len(plain) - sum(map(plain.count, BLANKS))
     lines = [line for line in text.split(b"\n") if line.strip()]
     repeated = 0

@@ -1,108 +1,31 @@
-"""Quality rules of documents: counts per text, and the perplexity of a byte n-gram model of the corpus (`byte_model`).
-
-The small model over 32 character classes in this file fits into one table and is not used for the rules.
-"""
+"""Quality rules of documents: counts per text, and the perplexity of a byte n-gram model of the corpus (`byte_model`)."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactlake.llm.base_rules import BLANKS, base_counts
-from redactlake.llm.byte_model import surprises
+from redactlake.llm.base_rules import base_counts
+from redactlake.llm.byte_model import beside, surprises
 from redactlake.llm.store import Scratch
 
-__all__ = ["base_counts", "build_model", "byte_classes", "codes", "quality_rules", "table_of"]
-
-CLASSES, ORDER = 32, 4
-#: The class of each byte: 0 stands before and after a text.
-BEYOND_ASCII, CAPITAL, SPACE, DIGIT, OTHER = 27, 28, 29, 30, 31
-
-
-def byte_classes() -> np.ndarray:
-    of = np.full(256, OTHER, np.uint32)
-    of[128:] = BEYOND_ASCII
-    of[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    of[ord("A") : ord("Z") + 1] = CAPITAL
-    of[ord("0") : ord("9") + 1] = DIGIT
-    of[[ord(c) for c in BLANKS]] = SPACE
-    return of
-
-
-def codes(text: bytes, classes: np.ndarray) -> np.ndarray:
-    """The n-grams of a text with its two ends, each as a number of 20 bits."""
-    own = np.zeros(len(text) + ORDER, np.uint32)
-    own[ORDER - 1 : -1] = classes[np.frombuffer(text, np.uint8)]
-    return (own[:-3] << 15) | (own[1:-2] << 10) | (own[2:-1] << 5) | own[3:]
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """The three discounts of an order, for n-grams seen once, twice and more often."""
-    n = [max(1, int((counts == i).sum())) for i in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.clip([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0.1, [0.9, 1.8, 2.7])
+__all__ = ["base_counts", "quality_rules"]
 
+#: Bands of so many languages are broadcast (some 100 bytes each); those of more are joined.
+BROADCAST_LANGUAGES = 1 << 16
 
-def build_model(code: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """Modified Kneser-Ney probabilities from the counts of the n-grams of one model.
 
-    Sorted codes and log2 probabilities of the n-grams seen; per order below, log2 probabilities of all n-grams of that order;
-    sorted codes and log2 back-off weights of the contexts seen.
-    """
-    lower = np.full(1, 1 / CLASSES)  # below the lowest order, all classes are alike
-    keys, counts = code.astype(np.int64), n.astype(np.int64)
-    orders = [(keys, counts)]
-    for _ in range(ORDER - 1):  # the lower orders count the different classes in front
-        top = CLASSES ** (ORDER - len(orders))
-        keys, counts = np.unique(keys % top, return_counts=True)
-        orders.append((keys, counts))
-    for order in range(1, ORDER + 1):
-        keys, counts = orders[ORDER - order]
-        discount = _discounts(counts)[np.minimum(counts, 3) - 1]
-        context = keys // CLASSES
-        space = CLASSES ** (order - 1)
-        mass = np.bincount(context, counts, minlength=space)
-        freed = np.bincount(context, discount, minlength=space)
-        weight = np.where(mass > 0, freed / np.maximum(mass, 1), 1.0)  # back-off weight of each context
-        below = lower[(np.arange(space * CLASSES) % (space if order > 1 else 1)) if order > 1 else np.zeros(CLASSES, int)]
-        if order < ORDER:
-            full = np.repeat(weight, CLASSES) * below
-            full[keys] += (counts - discount) / mass[context]
-            lower = full
-        else:
-            seen = weight[context] * lower[keys % space] + (counts - discount) / mass[context]
-            contexts = np.flatnonzero(mass)
-            return {
-                "codes": keys.astype(np.int32),
-                "logs": np.log2(seen).astype(np.float32),
-                "contexts": contexts.astype(np.int32),
-                "backoffs": np.log2(weight[contexts]).astype(np.float32),
-                "lower": np.log2(lower).astype(np.float32),
-            }
-    raise AssertionError
-
-
-def table_of(model: dict[str, np.ndarray]) -> np.ndarray:
-    """log2 probabilities of all n-grams, laid out for looking up a text's n-grams at once."""
-    space = CLASSES ** (ORDER - 1)
-    backoff = np.zeros(space, np.float32)
-    backoff[model["contexts"]] = model["backoffs"]
-    table = (np.repeat(backoff, CLASSES).reshape(-1, space) + model["lower"]).ravel()
-    table[model["codes"]] = model["logs"]
-    return table
-
-
-def quality_rules(docs: DataFrame, below: float = 6.0, above: float = 8.0, least: float = 0.02) -> DataFrame:
+def quality_rules(docs: DataFrame, above: float = 3.0, below: float = 3.0, apart: float = 2.5, least: float = 0.02) -> DataFrame:
     """One row per row of `docs` (doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, perplexity (per byte; null for empty texts), kept.
 
-    kept is false where the base rules fail and where the perplexity leaves the band of its language. Its middle is the median of
-    log2 perplexities of the documents that pass the base rules. A text's spread shrinks with the root of its length; its
-    scale is the median deviation times that root. The band reaches `above` spreads and `least` more upwards. Downwards it reaches
-    `below` spreads and `least` more in the perplexity after at most two bytes, since longer contexts know clean texts
-    with near copies by heart. Every language has its own model and bands; null counts as the language of empty name.
-    Null texts count as empty.
+    kept is false where the base rules fail and where the perplexity leaves the bands of its language. Their middles are the medians
+    of log2 perplexities of the documents that pass the base rules. A text's spread shrinks with the root of its length; its
+    scale is the median deviation times that root. Upwards, a band reaches `above` spreads and `least` more. Downwards it reaches
+    `below` spreads and `least` more in the perplexity after at most two bytes, since longer contexts know clean texts with near
+    copies by heart. The first may lie at most `apart` spreads and `least` more nearer to the second than usual: where words are no
+    words, longer contexts tell little. Every language has its own model and bands; null counts as the language of empty name.
+    Null texts count as empty; of texts that are no UTF-8, each broken part counts as one character in word_chars.
     Repeated rows get the same result; other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "rules")
@@ -112,25 +35,22 @@ def quality_rules(docs: DataFrame, below: float = 6.0, above: float = 8.0, least
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
     )
     measured = scratch.keep(surprises(keyed, scratch), "measured")
+    judged = {"up": F.col("surprise"), "down": -F.col("near_surprise"), "near": F.col("surprise") - F.col("near_surprise")}
     passing = measured.where("not base_failed")
-    middles = passing.groupBy("lang").agg(
-        *[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_middle") for c in ("surprise", "near_surprise")]
-    )
-    off = {c: F.col(c) - F.col(f"{c}_middle") for c in ("surprise", "near_surprise")}
+    middles = passing.groupBy("lang").agg(*[F.percentile_approx(v, 0.5, 10_000).alias(f"{c}_middle") for c, v in judged.items()])
+    off = {c: v - F.col(f"{c}_middle") for c, v in judged.items()}
     deviations = (
-        passing.join(middles, "lang")
+        beside(passing, scratch.keep(middles, "middles"), BROADCAST_LANGUAGES)
         .groupBy("lang")
         .agg(
             *[F.first(f"{c}_middle").alias(f"{c}_middle") for c in off],
             *[F.percentile_approx(F.abs(o) * F.sqrt("n_grams"), 0.5, 10_000).alias(f"{c}_deviation") for c, o in off.items()],
         )
     )
-    root = F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
-    spread = {c: F.lit(1.4826) * F.col(f"{c}_deviation") / root for c in off}
-    inside = (off["surprise"] <= above * spread["surprise"] + least) & (
-        off["near_surprise"] >= -below * spread["near_surprise"] - least
-    )
-    return measured.join(scratch.keep(deviations, "bands"), "lang", "left").select(
+    root, inside = F.sqrt(F.greatest(F.col("n_grams"), F.lit(1))), F.lit(True)
+    for (c, o), reach in zip(off.items(), (above, below, apart), strict=True):
+        inside &= o <= reach * F.lit(1.4826) * F.col(f"{c}_deviation") / root + least
+    return beside(measured, scratch.keep(deviations, "bands"), BROADCAST_LANGUAGES).select(
         "doc_id",
         "n_words",
         "word_chars",

@@ -9,7 +9,7 @@ import pytest
 
 from redactlake.llm import byte_model, toxicity
 from redactlake.llm.quality_classifier import Network, fit, quality_scores
-from redactlake.llm.quality_rules import base_counts, build_model, byte_classes, codes, quality_rules, table_of
+from redactlake.llm.quality_rules import base_counts, quality_rules
 from redactlake.llm.toxicity import Grammar, learn_lexicon, toxicity_scores
 
 
@@ -186,12 +186,74 @@ def test_model_grows_with_the_corpus(spark, make, monkeypatch):
     assert all(first[i] == pytest.approx(again[i], rel=1e-5) for i in first if first[i] is not None)
 
 
-def test_shares_are_a_distribution():
-    keys, counts = np.unique(byte_model.grams(b"some words of text and some others of some text" * 3), return_counts=True)
-    seen, rest = byte_model.shares(counts, *byte_model.sums(keys, counts))
-    for context in np.unique(keys >> np.uint64(8)):
-        own = keys >> np.uint64(8) == context
-        assert seen[own].sum() + rest[own][0] == pytest.approx(1)
+def plain_kneser_ney(texts):
+    """A function for the probability of a byte after at most four, by dictionaries."""
+    counts = [Counter() for _ in range(6)]
+    for text in texts:
+        padded = bytes(4) + text + bytes(1)
+        counts[5].update(padded[i : i + 5] for i in range(len(text) + 1))
+    for order in (4, 3, 2, 1):
+        counts[order].update(gram[1:] for gram in counts[order + 1])
+    off = {}
+    for order in range(1, 6):
+        times = Counter(counts[order].values())
+        n = [max(1, times[i]) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        off[order] = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), most) for i, most in ((1, 0.9), (2, 1.8), (3, 2.7))]
+
+    def probability(gram):
+        if not gram:
+            return 1 / 256
+        order, after = len(gram), {g: c for g, c in counts[len(gram)].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return probability(gram[1:])
+        taken = {g: off[order][min(c, 3) - 1] for g, c in after.items()}
+        own = after.get(gram, 0) - taken.get(gram, 0)
+        return (own + sum(taken.values()) * probability(gram[1:])) / sum(after.values())
+
+    return probability
+
+
+def test_perplexity_is_that_of_plain_kneser_ney(make, monkeypatch):
+    """Over several blocks and buckets, rows of buckets split; copies and texts that fail the base rules aren't counted."""
+    monkeypatch.setattr(byte_model, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(byte_model, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(byte_model, "SORT_BYTES", 64)
+    monkeypatch.setattr(byte_model, "ROW_BYTES", 400)
+    draw = random.Random(8)
+    words = ["so", "Ännä", "tell", "me", "%%", "and", "漢字", "then", "a1"]
+    texts = [" ".join(draw.choices(words, k=draw.randrange(10, 25))) for _ in range(30)]
+    texts = [t for t in texts if not base_counts(t.encode())[5]]
+    rows = [(i, t, "en") for i, t in enumerate([*texts, texts[0], texts[0], "too short §", "\0 zero"])]
+    model = plain_kneser_ney([t.encode() for t in texts])
+    for row in quality_rules(make(rows)).collect():
+        padded = bytes(4) + rows[row.doc_id][1].encode() + bytes(1)
+        logs = [np.log2(model(padded[i : i + 5])) for i in range(len(padded) - 4)]
+        assert np.log2(row.perplexity) == pytest.approx(-np.mean(logs), abs=1e-3)
+
+
+def test_probabilities_after_a_context_sum_to_one():
+    draw = np.random.default_rng(5)
+    pairs = byte_model.pair_probabilities(draw.integers(0, 3, byte_model.PAIRS) * draw.integers(0, 2, byte_model.PAIRS))
+    assert np.allclose(pairs.reshape(256, 256).sum(1), 1)
+    below = draw.random(256)
+    counts = draw.integers(0, 6, 256)
+    got = byte_model.level(np.arange(256, dtype=np.uint64) + np.uint64(512), counts, np.array([0, 0.5, 0.9, 1.3]), below / below.sum())
+    assert got.sum() == pytest.approx(1)
+
+
+def test_languages_beyond_the_broadcast_are_joined(make, monkeypatch):
+    draw = random.Random(1)
+    rows = [(i, " ".join(draw.choices(["one", "two", "six", "ten", "plain"], k=30)), ("en", "fr", None)[i % 3]) for i in range(30)]
+    first = {row.doc_id: row for row in quality_rules(make(rows)).collect()}
+    monkeypatch.setattr(byte_model, "BROADCAST_LANGUAGES", 1)
+    monkeypatch.setattr("redactlake.llm.quality_rules.BROADCAST_LANGUAGES", 1)
+    assert first == {row.doc_id: row for row in quality_rules(make(rows)).collect()}
+
+
+def test_texts_that_are_no_utf8(spark):
+    rows = spark.range(3).selectExpr("id as doc_id", "cast(unhex('C328') as string) as text", "'en' as lang")
+    assert [row.word_chars for row in quality_rules(rows).collect()] == [2, 2, 2]
 
 
 def test_every_language_has_its_own_model(make):
@@ -209,12 +271,6 @@ def test_every_language_has_its_own_model(make):
     assert np.mean([got[i].kept for i, *_ in rows]) > 0.98
 
 
-def test_model_is_a_distribution():
-    own = np.concatenate([codes(text, byte_classes()) for text in (b"some words of text", b"Some 12 others!", b"")])
-    table = table_of(build_model(*np.unique(own, return_counts=True)))
-    assert np.allclose((2.0 ** table.astype(float).reshape(-1, 32)).sum(1), 1, atol=1e-4)
-
-
 def test_quality_rules_of_nothing(empty):
     assert quality_rules(empty).count() == 0
 
