@@ -38,7 +38,7 @@ PAIRS = 1 << 16
 LOG_SCALE = 1 << 10
 MEASURED = (
     "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-    "n_repeat_words bigint, base_failed boolean, surprise double, near_surprise double, n_grams bigint"
+    "n_repeat_words bigint, base_failed boolean, surprise double, near_surprise double, lone_surprise double, n_grams bigint"
 )
 PACK = "lang string, block int, buckets int, pack binary"
 SENT = "bucket int, lang string, block int, keys binary, counts binary, size int"
@@ -126,6 +126,11 @@ def discounts(times: np.ndarray) -> np.ndarray:
     return np.array([0.0, *np.clip([i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3)], 0.1, [0.9, 1.8, 2.7])])
 
 
+def without_own(discount: np.ndarray) -> np.ndarray:
+    """Discounts by which a text can't vouch for itself: one of each count is taken off first. For counts zero to three and from four."""
+    return np.array([0.0, *(1 + discount)])
+
+
 def level(keys: np.ndarray, counts: np.ndarray, discount: np.ndarray, below: np.ndarray) -> np.ndarray:
     """The probabilities of sorted different n-grams of one order, all of whose contexts' counted n-grams are among them.
 
@@ -134,39 +139,42 @@ def level(keys: np.ndarray, counts: np.ndarray, discount: np.ndarray, below: np.
     context = keys >> np.uint64(8)
     starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     lengths = np.diff(starts, append=len(keys))
-    taken = discount[np.minimum(counts, 3)]
+    taken = discount[np.minimum(counts, len(discount) - 1)]
     mass = np.repeat(np.add.reduceat(counts, starts), lengths)
     freed = np.repeat(np.add.reduceat(taken, starts), lengths)
     whole = np.maximum(mass, 1)
     return (counts - taken) / whole + np.where(mass > 0, freed / whole, 1.0) * below
 
 
-def pair_probabilities(numbers: np.ndarray) -> np.ndarray:
+def pair_probabilities(numbers: np.ndarray, altered=lambda discount: discount) -> np.ndarray:
     """Of all pairs of bytes, from how many different bytes were counted in front of each: the last byte after the first."""
     singles = (numbers.reshape(256, 256) > 0).sum(0)
-    lone = level(np.arange(256, dtype=np.uint64), singles, discounts(seen_times(singles)), np.full(256, 1 / 256))
-    return level(np.arange(PAIRS, dtype=np.uint64), numbers, discounts(seen_times(numbers)), np.tile(lone, 256))
+    first, second = (altered(discounts(seen_times(n))) for n in (singles, numbers))
+    lone = level(np.arange(256, dtype=np.uint64), singles, first, np.full(256, 1 / 256))
+    return level(np.arange(PAIRS, dtype=np.uint64), numbers, second, np.tile(lone, 256))
 
 
 def bucket_logs(keys: np.ndarray, counts: np.ndarray, facts: np.ndarray) -> list[np.ndarray]:
-    """-log2 of the probabilities of a bucket's sorted ORDER-grams, and those of their last NEAR bytes, times LOG_SCALE.
+    """-log2, times LOG_SCALE, of the probabilities of a bucket's sorted ORDER-grams, of those of their last NEAR bytes, and of the
+    first by the discounts `without_own`.
 
     `facts` holds the numbers for the PAIRS, then those of `seen_times` for each order from ORDER down to LOCAL.
     """
     levels = [(keys, counts)]
     for order in range(ORDER - 1, LOCAL - 1, -1):
         levels.append(shorter(*levels[-1], order))
-    probability, out = pair_probabilities(facts[:PAIRS])[tail(levels[-1][0], 2).astype(np.int64)], []
+    lowest = tail(levels[-1][0], 2).astype(np.int64)
+    plain, alone = (pair_probabilities(facts[:PAIRS], *how)[lowest] for how in ((), (without_own,)))
     times = facts[PAIRS:].reshape(-1, 4)
     for order, (own, n), seen in zip(range(LOCAL, ORDER + 1), levels[::-1], times[::-1], strict=True):
         if order > LOCAL:
-            probability = probability[np.searchsorted(last, tail(own, order - 1))]
-        probability, last = level(own, n, discounts(seen), probability), own
+            at = np.searchsorted(last, tail(own, order - 1))
+            plain, alone = plain[at], alone[at]
+        discount, last = discounts(seen), own
+        plain, alone = level(own, n, discount, plain), level(own, n, without_own(discount), alone)
         if order == NEAR:
-            near = probability[np.searchsorted(own, tail(keys, NEAR))]
-    for p in (probability, near):
-        out.append(np.minimum(np.rint(-np.log2(p) * LOG_SCALE), 65535).astype(np.uint16))
-    return out
+            near = plain[np.searchsorted(own, tail(keys, NEAR))]
+    return [np.minimum(np.rint(-np.log2(p) * LOG_SCALE), 65535).astype(np.uint16) for p in (plain, near, alone)]
 
 
 def _pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,14 +322,14 @@ def _score(packs: pa.Table, answers: pa.Table) -> pa.Table:
     out, lang = [], packs.column("lang")[0].as_py()
     texts = _unpack(packs)
     codes, _ = block_grams((text, False) for text in texts if text)
-    logs = np.zeros((2, len(codes)), np.uint16)
+    logs = np.zeros((3, len(codes)), np.uint16)
     told = {row["bucket"]: row for row in answers.to_pylist()}
     for bucket, own in by_bucket(codes, packs.column("buckets")[0].as_py()):
-        logs[:, own] = unpacked(told[bucket]["logs"], np.uint16, 2 * told[bucket]["size"]).reshape(2, -1)
+        logs[:, own] = unpacked(told[bucket]["logs"], np.uint16, 3 * told[bucket]["size"]).reshape(3, -1)
     for text, ids in texts.items():
-        means, n = (None, None), len(text) + 1 if text else 0
+        means, n = (None,) * 3, len(text) + 1 if text else 0
         if text:
-            sums = np.zeros(2, np.int64)
+            sums = np.zeros(3, np.int64)
             for run in gram_runs(text):
                 sums += logs[:, np.searchsorted(codes, np.sort(run))].sum(1, dtype=np.int64)
             means = (sums / (LOG_SCALE * n)).tolist()
@@ -365,7 +373,7 @@ def block_column(docs: DataFrame) -> tuple[F.Column, int]:
 
 def surprises(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """MEASURED for each row of `docs` (doc_id, text and lang, both without nulls); surprise is bits a byte, null for empty texts;
-    near_surprise is the same by at most NEAR - 1 bytes before each. Texts that pass the base rules are learnt from, equal ones once."""
+    near_surprise is the same by at most NEAR - 1 bytes before each, lone_surprise by counts less the one of the text itself. Texts that pass the base rules are learnt from, equal ones once."""
     block, total = block_column(docs)
     buckets = F.lit(4 + total // BUCKET_BYTES).cast("int")
     dealt = docs.select("lang", block.alias("block"), buckets.alias("buckets"), "doc_id", "text")

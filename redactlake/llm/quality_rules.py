@@ -15,7 +15,9 @@ __all__ = ["base_counts", "quality_rules"]
 BROADCAST_LANGUAGES = 1 << 16
 
 
-def quality_rules(docs: DataFrame, above: float = 3.0, below: float = 3.0, apart: float = 2.5, least: float = 0.02) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, above: float = 3.0, below: float = 3.0, apart: float = 2.5, lone: float = 15.0, least: float = 0.02
+) -> DataFrame:
     """One row per row of `docs` (doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, perplexity (per byte; null for empty texts), kept.
 
@@ -24,7 +26,8 @@ def quality_rules(docs: DataFrame, above: float = 3.0, below: float = 3.0, apart
     scale is the median deviation times that root. Upwards, a band reaches `above` spreads and `least` more. Downwards it reaches
     `below` spreads and `least` more in the perplexity after at most two bytes, since longer contexts know clean texts with near
     copies by heart. The first may lie at most `apart` spreads and `least` more nearer to the second than usual: where words are no
-    words, longer contexts tell little. Every language has its own model and bands; null counts as the language of empty name.
+    words, longer contexts tell little. By counts less the one that a text adds itself, it reaches `lone` spreads and `least` more, for
+    texts of a kind of their own. Every language has its own model and bands; null counts as the language of empty name.
     Null texts count as empty; of texts that are no UTF-8, each broken part counts as one character in word_chars.
     Repeated rows get the same result; other columns are ignored; an empty table gives no rows.
     """
@@ -36,6 +39,7 @@ def quality_rules(docs: DataFrame, above: float = 3.0, below: float = 3.0, apart
     )
     measured = scratch.keep(surprises(keyed, scratch), "measured")
     judged = {"up": F.col("surprise"), "down": -F.col("near_surprise"), "near": F.col("surprise") - F.col("near_surprise")}
+    judged["lone"] = F.col("lone_surprise")
     passing = measured.where("not base_failed")
     middles = passing.groupBy("lang").agg(*[F.percentile_approx(v, 0.5, 10_000).alias(f"{c}_middle") for c, v in judged.items()])
     off = {c: v - F.col(f"{c}_middle") for c, v in judged.items()}
@@ -48,7 +52,7 @@ def quality_rules(docs: DataFrame, above: float = 3.0, below: float = 3.0, apart
         )
     )
     root, inside = F.sqrt(F.greatest(F.col("n_grams"), F.lit(1))), F.lit(True)
-    for (c, o), reach in zip(off.items(), (above, below, apart), strict=True):
+    for (c, o), reach in zip(off.items(), (above, below, apart, lone), strict=True):
         inside &= o <= reach * F.lit(1.4826) * F.col(f"{c}_deviation") / root + least
     return beside(measured, scratch.keep(deviations, "bands"), BROADCAST_LANGUAGES).select(
         "doc_id",
