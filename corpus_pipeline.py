@@ -13,7 +13,7 @@ from redactlake.llm.mixing import mixed
 from redactlake.llm.ngram_join import ngram_links
 from redactlake.llm.packing import pack
 from redactlake.llm.quality_classifier import quality_scores
-from redactlake.llm.store import Scratch
+from redactlake.llm.store import Scratch, free_name
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,9 +25,10 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. It learns from the table labels."""
+    """Documents that the quality classifier doesn't reject. It learns from the table labels. Null texts are judged as empty ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_scores(docs, labels).where(F.col("quality_result.score") >= REJECT_BELOW).drop("quality_result")
+    name = free_name(docs, "quality_result")
+    return quality_scores(docs, labels, result_name=name).where(F.col(name)["score"] >= REJECT_BELOW).drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of the n-gram join connect, the one with the smallest id. Rows without id stay."""
+    name = free_name(docs, "copy_id")
     linked = ngram_links(docs, NGRAM, PERCENT)
-    copies = linked.where("doc_id != component_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
+    copies = linked.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactlake.llm.store import Scratch
+from redactlake.llm.store import Scratch, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
@@ -110,27 +110,29 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: in
     """The mix itself: rows of `docs` once per epoch, the last one of a source cut to the words that it gives; n_chars, where it
     is a column, follows the cut. Rows that take nothing are left out; rows with the same id, source and text share evenly.
     """
+    taken, size, epoch, cut, row, no_source, source, text_hash = (
+        free_name(docs, f"_{c}") for c in ("taken", "size", "epoch", "cut", "doc_id", "no_source", "source", "text_hash")
+    )
     takes = (
         _takes(docs, weights, most_epochs)
         .groupBy("doc_id", "no_source", "source", "text_hash")
-        .agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken"), F.first("size").alias("_size"))
-        .where("_taken > 0")
-        .select("_taken", "_size", *[F.col(c).alias(f"_{c}") for c in ("doc_id", "no_source", "source", "text_hash")])
+        .agg(F.floor(F.sum("taken") / F.count("*")).alias(taken), F.first("size").alias(size))
+        .where(F.col(taken) > 0)
+        .withColumnsRenamed({"doc_id": row, "no_source": no_source, "source": source, "text_hash": text_hash})
     )
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-        & (F.col("source").isNull() == F.col("_no_source"))
-        & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_source"))
-        & (F.xxhash64("text") == F.col("_text_hash"))
+        F.col("doc_id").eqNullSafe(F.col(row))
+        & (F.col("source").isNull() == F.col(no_source))
+        & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(source))
+        & (F.xxhash64("text") == F.col(text_hash))
     )
-    epoch = F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1))
-    rows = docs.join(takes, same).withColumn("_epoch", epoch)
-    left = F.col("_taken") - F.col("_epoch") * F.col("_size")
+    epochs = F.explode(F.sequence(F.lit(0), F.ceil(F.col(taken) / F.col(size)).cast("int") - 1))
+    rows = docs.join(takes, same).withColumn(epoch, epochs)
+    left = F.col(taken) - F.col(epoch) * F.col(size)
     spaced = F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0))
-    cut = F.when(left < F.col("_size"), F.array_join(F.slice(spaced, F.lit(1), left.cast("int")), ""))
-    rows = rows.withColumn("_cut", cut)
-    columns = {"text": F.coalesce("_cut", "text")}
+    rows = rows.withColumn(cut, F.when(left < F.col(size), F.array_join(F.slice(spaced, F.lit(1), left.cast("int")), "")))
+    columns = {"text": F.coalesce(cut, "text")}
     if "n_chars" in docs.columns:
-        length = F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.char_length("_cut"))
+        length = F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.char_length(cut))
         columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
     return rows.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -151,9 +151,10 @@ def quality_scores(
     rest: int = 1,
     fit_rows: int = 3000,
     fit_bytes: int = 1 << 14,
+    result_name: str = "quality_result",
 ) -> DataFrame:
     """The rows of `docs` (doc_id, text, ...) with held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 if score
-    is at least 0.5) in the struct `quality_result`.
+    is at least 0.5) in the struct `result_name`, which no column of `docs` may have as its name.
 
     Fitted on at most `fit_rows` labelled rows of at most `fit_bytes` bytes that aren't held out; every whole text is scored.
     Null and empty texts are scored as a text of zero bytes. Repeated rows get the same score; columns other than doc_id and
@@ -176,4 +177,4 @@ def quality_scores(
         held_out(modulus, rest).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
     columns = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
-    return scored.select(*columns, result.alias("quality_result"))
+    return scored.select(*columns, result.alias(result_name))

@@ -19,6 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with as many underscores in front that no column of `df` has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
     """Tables that one call of an operator writes and reads again. Lost executors cost at most the stage at hand."""
 

@@ -1,6 +1,7 @@
 """The pipeline's stages, one after the other."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -34,6 +35,29 @@ def test_stages_take_effect(spark, sf_dir):
     assert [r for r in corpus_pipeline.run(spark, sf_dir).groupBy().sum("length").collect()][0][0] == tokens
 
 
+def test_stages_keep_columns_that_clash(spark, sf_dir):
+    """Columns with the names that stages use inside come out as they went in, with null and empty texts and repeated rows."""
+    names = ["_place", "_taken", "_size", "_epoch", "_cut", "_doc_id", "copy_id", "quality_result", "_no_source", "key", "rest", "score"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.limit(3).selectExpr("doc_id + 10000000 as doc_id", "cast(null as string) as text").unionByName(
+        docs.limit(3).selectExpr("doc_id + 20000000 as doc_id", "'' as text")
+    )
+    docs = docs.unionByName(odd, allowMissingColumns=True).unionByName(docs.limit(5))
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert [c for c in docs.columns if c in names] == names, name
+        wrong = F.exists(F.array(*[~F.col(f"`{n}`").eqNullSafe(F.concat(F.lit(f"{n} "), F.col("doc_id"))) for n in names]), lambda x: x)
+        assert docs.where(wrong).count() == 0 < docs.count(), name
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0, name
+
+
 def test_registered_queries():
     names = list(queries())
     assert [int(name[2:].split("_")[0]) for name in names] == list(range(1, 14))
