@@ -55,27 +55,27 @@ def test_user_messages_only(spark):
     found, summary = run(
         spark,
         body(
-            user("Schreib an kontakt@example.de"),
-            {"role": "assistant", "content": "boss@example.de"},
-            user("und an x@example.de"),
-            system="Contact: support@example.com",
+            user("Termin mit pia@hof.example am Montag"),
+            {"role": "assistant", "content": "leitung@hof.example"},
+            user("sonst ruft jan@hof.example an"),
+            system="Hilfe gibt dienst@hof.example",
         ),
     )
-    assert found == {"messages[0].content": "Schreib an [EMAIL_1]", "messages[2].content": "und an [EMAIL_1]"}
+    assert found == {"messages[0].content": "Termin mit [EMAIL_1] am Montag", "messages[2].content": "sonst ruft [EMAIL_1] an"}
     assert summary["is_json"] and summary["pii_found"] == 2
     assert summary["placeholders"] == ["[EMAIL_1]"] and summary["pii_types"] == ["EMAIL"]
 
 
 def test_tool_results(spark):
     blocks = [
-        {"type": "tool_result", "tool_use_id": "x", "content": "Ergebnis: user@example.com"},
+        {"type": "tool_result", "tool_use_id": "x", "content": "3 Zeilen, eine von lea@hof.example"},
         {"type": "tool_result", "content": [{"type": "other", "text": "b@example.com"}, "c@example.com", {"text": 5}]},
         {"type": "text", "text": "d@example.com"},
         {"type": "image", "text": "e@example.com"},
     ]
     found, _ = run(spark, body(user(blocks)))
     assert found == {
-        "messages[0].content[0].content": "Ergebnis: [EMAIL_1]",
+        "messages[0].content[0].content": "3 Zeilen, eine von [EMAIL_1]",
         "messages[0].content[1].content[0].text": "[EMAIL_1]",
         "messages[0].content[2].text": "[EMAIL_1]",
     }
@@ -96,9 +96,9 @@ def test_string_that_looks_like_blocks(spark):
 
 
 def test_whitelist_and_counts(spark):
-    found, summary = run(spark, body(user("safe@example.com und risk@example.com")), whitelist=("safe@example.com",))
-    assert found == {"messages[0].content": "safe@example.com und [EMAIL_1]"} and summary["pii_found"] == 1
-    _, summary = run(spark, body(user("a@example.com +49 171 1234567")), detectors=("EMAIL", "PHONE"))
+    found, summary = run(spark, body(user("Von presse@hof.example kopiert an max@hof.example")), whitelist=("presse@hof.example",))
+    assert found == {"messages[0].content": "Von presse@hof.example kopiert an [EMAIL_1]"} and summary["pii_found"] == 1
+    _, summary = run(spark, body(user("max@hof.example, mobil 0152 8817345")), detectors=("EMAIL", "PHONE"))
     assert summary["pii_found"] == 2
 
 
