@@ -17,9 +17,10 @@ from redactlake.operators.scans import explode_array, explode_findings, placehol
 
 
 def read_stream(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:
-    """Parquet files of a folder as a stream."""
+    """Parquet files of a folder as a stream. What the glob finds may also be folders of files, as tables in several parts are."""
     schema = spark.read.parquet(f"{folder}/{file_glob}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+    # braces make a plain name a glob too: a path that is none has to be a folder
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{file_glob}}}")
 
 
 #: Default trigger: until the input that is there now is used up. ``{"processingTime": "10 seconds"}`` runs on.

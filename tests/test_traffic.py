@@ -167,3 +167,13 @@ def test_stream_rate_outside_utc_and_late_calls(spark, tmp_path):
         assert out.count() == 202 and out.where("admitted").count() == 122
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_streams_read_tables_in_several_parts(spark, sf_dir, tmp_path):
+    """A table may be a folder of files, beside other tables."""
+    parts = str(tmp_path / "tables")
+    for table in ("documents", "pages"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3).write.parquet(f"{parts}/{table}.parquet")
+    for name in ("stream_scan",):
+        whole = sorted(map(str, queries()[name](spark, sf_dir).collect()))
+        assert sorted(map(str, queries()[name](spark, parts).collect())) == whole
