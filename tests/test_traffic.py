@@ -174,6 +174,6 @@ def test_streams_read_tables_in_several_parts(spark, sf_dir, tmp_path):
     parts = str(tmp_path / "tables")
     for table in ("documents", "pages"):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3).write.parquet(f"{parts}/{table}.parquet")
-    for name in ("stream_scan",):
+    for name in ("stream_scan", "stream_sink"):
         whole = sorted(map(str, queries()[name](spark, sf_dir).collect()))
         assert sorted(map(str, queries()[name](spark, parts).collect())) == whole
