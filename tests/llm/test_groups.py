@@ -218,3 +218,16 @@ def test_cover_sort_orders_and_groups():
 @pytest.mark.parametrize("operator", [exact_groups, ngram_links, repeated_passages, keep_one])
 def test_empty_tables(empty, operator):
     assert operator(empty).count() == 0
+
+
+@pytest.mark.parametrize("find", [repeated_passages, ngram_links])
+def test_batches_of_texts_stay_small(spark, find):
+    """Spark's batches of 10,000 whole texts would stand in every task several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for before, after in (("10000", "1000"), ("0", "1000"), ("70", "70")):
+        spark.conf.set(name, before)
+        try:
+            find(spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id bigint, text string")).collect()
+            assert spark.conf.get(name) == after
+        finally:
+            spark.conf.unset(name)
