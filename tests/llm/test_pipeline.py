@@ -62,3 +62,16 @@ def test_registered_queries():
     names = list(queries())
     assert [int(name[2:].split("_")[0]) for name in names] == list(range(1, 14))
     assert set(oracle_sql()) <= set(names)
+
+
+def test_quality_stage_takes_small_batches(spark):
+    """The first stage has no intermediate tables, and scores whole texts all the same."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    try:
+        docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+        labels = spark.createDataFrame([(2, 1)], "doc_id bigint, quality int")
+        assert quality_scores(docs, labels).count() == 2
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.unset(name)
