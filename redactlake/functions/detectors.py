@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from redactlake import fixed_values as fv
 from redactlake.functions import checksums as ck
 from redactlake.functions.arrays import bind, empty_array
-from redactlake.functions.hits import hits_of_all
-from redactlake.functions.patterns import GATES, PATTERNS, SHARED_GATE_OF, SHARED_GATES, to_java
+from redactlake.functions.hits import Search, hits_of_all, shortened
+from redactlake.functions.patterns import GATES, NEAR_CORE, PATTERNS, RUN_CORE, RUN_TYPES, SHARED_GATE_OF, SHARED_GATES, to_java
 
 CANDIDATE = (
     "struct<pii_type:string,start:bigint,end:bigint,text:string,confidence:double,rule_id:string,prio:int,ordinal:int>"
@@ -54,8 +54,15 @@ def _fits(pattern: str) -> Callable[[Column], Column]:
 
 
 def _holds(*literals: str) -> Callable[[Column], Column]:
-    """Compares bytes, unlike patterns, for which the text has to be decoded first."""
-    return lambda text: reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
+    """Compares bytes, unlike patterns, for which the text has to be decoded first. A sign that several literals have in common is looked for
+    before them."""
+    common = [c for c in literals[0] if not c.isalnum() and all(c in x for x in literals)] if len(literals) > 1 else []
+
+    def gate(text: Column) -> Column:
+        one = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
+        return F.contains(text, F.lit(common[0])) & one if common else one
+
+    return gate
 
 
 def _every_match(pii_type: str, confidence, rule_id: str | None = None):
@@ -234,6 +241,21 @@ def select_detectors(names: Iterable[str]) -> list[str]:
     return [t for t in fv.PII_TYPES if t in wanted] if wanted else list(fv.PII_TYPES)
 
 
+def _runs(text: Column) -> Column:
+    """The text cut down to the runs that hold all matches of RUN_TYPES."""
+    return shortened(text, RUN_CORE, lambda gap: F.left(gap, F.lit(1)), lambda gap: F.right(gap, F.lit(1)))
+
+
+def _near_core(text: Column, pii_type: str) -> Column:
+    """The text cut down to what lies near the cores of a type."""
+    core, behind, in_front = NEAR_CORE[pii_type]
+
+    def tail(gap: Column) -> Column:
+        return F.reverse(F.regexp_extract(F.reverse(gap), in_front, 0))
+
+    return shortened(text, core, lambda gap: F.regexp_extract(gap, behind, 0), tail)
+
+
 def candidates_of(text: Column, detectors: Iterable[str] | Column | None = None) -> Column:
     """All candidates of the selected detectors in registration order, before white list and overlaps.
 
@@ -245,25 +267,35 @@ def candidates_of(text: Column, detectors: Iterable[str] | Column | None = None)
     if not rules:
         return empty_array(CANDIDATE)
     sharing = Counter(SHARED_GATE_OF.get(r.pii_type) for r in rules)
+    # one pass that cuts the text down to runs pays off from three searches on
+    in_runs = sum(r.pii_type in RUN_TYPES for r in rules) > 2
 
-    def searches(shared: Column) -> list[tuple[str, Column]]:
+    def searches(shared: Column) -> list[Search]:
         out = []
         for r in rules:
-            gate, group = r.gate(text), SHARED_GATE_OF.get(r.pii_type)
+            short = in_runs and r.pii_type in RUN_TYPES
+            where = shared["runs"] if short else text
+            gate, group = r.gate(where), SHARED_GATE_OF.get(r.pii_type)
             if group and sharing[group] > 1:
                 gate = shared[group] & gate
             if per_row:
                 gate = (shared["all"] | F.array_contains(shared["wanted"], r.pii_type)) & gate
-            out.append((r.pattern, gate))
+            if r.pii_type in NEAR_CORE:
+                short, where = True, _near_core(text, r.pii_type)
+            out.append(Search(where, r.pattern, gate, short))
         return out
 
     def kept(found: Column) -> Column:
-        parts = [r.keep(found[i], text) for i, r in enumerate(rules)]
-        return F.when(F.exists(found, lambda h: F.size(h) > 0), F.concat(*parts)).otherwise(empty_array(CANDIDATE))
+        parts = [F.when(F.size(found[i]) > 0, r.keep(found[i], text)).otherwise(empty_array(CANDIDATE)) for i, r in enumerate(rules)]
+        return F.when(F.exists(found, lambda h: F.size(h) > 0), F.flatten(F.array(*parts))).otherwise(empty_array(CANDIDATE))
+
+    def conditions_in(runs: Column) -> list[Column]:
+        return [runs.rlike(p).alias(g) for g, p in SHARED_GATES.items() if sharing[g] > 1]
 
     conditions = [F.lit(True).alias("_")]
-    conditions += [text.rlike(p).alias(g) for g, p in SHARED_GATES.items() if sharing[g] > 1]
     if per_row:
         wanted = F.transform(F.coalesce(detectors, empty_array("string")), F.upper)
         conditions += [wanted.alias("wanted"), (F.size(wanted) == 0).alias("all")]
-    return bind(F.struct(*conditions), lambda shared: bind(hits_of_all(text, searches(shared)), kept))
+    runs = _runs(text) if in_runs else text
+    gated = bind(runs, lambda r: F.struct(*conditions, r.alias("runs"), *conditions_in(r)))
+    return bind(gated, lambda shared: bind(hits_of_all(searches(shared)), kept))

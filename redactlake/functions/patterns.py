@@ -8,6 +8,7 @@ stretch of text is walked a bounded number of times; the matches stay the same.
 from __future__ import annotations
 
 import re
+import string
 
 from redactlake import fixed_values as fv
 
@@ -170,3 +171,31 @@ SHARED_GATE_OF = {
     "LICENSE_PLATE": "capitals",
     "DRIVER_LICENSE": "capitals",
 }
+
+# What lies near enough to a core to have a part in a match: texts are cut down to that before they are searched.
+
+# Every match of these types lies within one run of such characters, four at least, and begins with one that no separator is. A class of
+# single characters is one table look-up in Java, where ranges are tried one by one.
+RUN_START = string.digits + string.ascii_uppercase + "ÄÖÜ+"
+RUN_CORE = rf"[{RUN_START}][{RUN_START}()/\-{SPACE}]{{3,}}+"
+RUN_TYPES = [
+    "PHONE", "CREDIT_CARD", "IBAN", "PERSONAL_ID", "SOCIAL_SECURITY", "TAX_ID", "VAT_ID", "KVNR", "LICENSE_PLATE", "DRIVER_LICENSE",
+]
+
+# What stands behind a core and, read backwards, in front of it; each with one character more, which look-arounds may see.
+ONE_MORE = r"(?s:.)?"
+_LETTER = rf"[\p{{Alpha}}ÄÖÜäöü{FOLDED}ßẞ]"
+_NAME = rf"[\p{{Alpha}}ÄÖÜäöü{FOLDED}ßẞ\-]*+"
+_BETWEEN = rf"[\-{SPACE}]*+"
+NEAR_CORE = {
+    # the characters of addresses before and behind the @
+    "EMAIL": ("@", rf"^[\w.%+\-{FOLDED}]*+{ONE_MORE}", rf"^[\w.%+\-{FOLDED}]*+{ONE_MORE}"),
+    # the gate is the core: behind it up to three words of a city; in front the rest of the house number, then street and preposition, which are
+    # at most four runs of letters and hyphens
+    "ADDRESS": (
+        GATES["ADDRESS"],
+        rf"^{_LETTER}*+(?:(?:[{SPACE}]++|-){_LETTER}++){{0,2}}+{ONE_MORE}",
+        rf"^[0-9]*+(?:[{SPACE}]*+/[{SPACE}]*+{_LETTER}?+[{SPACE}]*+[0-9]++)?+[{SPACE}]*+\.?+"
+        rf"{_NAME}{_BETWEEN}{_NAME}{_BETWEEN}{_NAME}{_BETWEEN}{_NAME}{ONE_MORE}",
+    ),
+}

@@ -4,7 +4,12 @@ import random
 
 import duckdb
 
+from pyspark.sql import functions as F
+
 from checks import oracle
+from redactlake.functions import hits
+from redactlake.functions.detectors import _runs, candidates_of
+from redactlake.functions.patterns import RUN_TYPES
 from redactlake.operators.scans import candidates
 
 PARTS = {
@@ -93,3 +98,31 @@ def test_long_runs_take_linear_time(spark):
     ]
     df = spark.createDataFrame(list(enumerate(nasty)), "scan_id int, text string").repartition(4)
     assert candidates(df).where("pii_type = 'ADDRESS'").count() == 0
+
+
+FILLERS = ["", " ", "\n", " und dann; ", ". Kurz gesagt ", "\x03", "\x03A\x03", "\x01", "é", "@", "ein Wort ohne alles, ja " * 3, "🙂" * 9, "(", "-"]
+
+
+def test_texts_cut_down_give_the_same_matches(spark, monkeypatch):
+    """Cut down to what can have a part in a match, texts give what they give when they are searched whole."""
+    rng = random.Random(12)
+    rows = [(0, None), (1, ""), (2, "4"), (3, "\x03"), (4, "\x0312\x03")]
+    for pii_type in PARTS:
+        awkward = list(texts(pii_type, rng, 900))
+        rows += [(len(rows) + i, rng.choice(FILLERS).join(rng.choices(awkward, k=rng.randrange(1, 6)))) for i in range(500)]
+    df = spark.createDataFrame(rows, "scan_id int, text string").repartition(4).persist()
+    for types in (None, ["ADDRESS"], ["EMAIL"], RUN_TYPES[:3], RUN_TYPES[3:]):
+        found = {}
+        for least in (0, 1 << 30):
+            monkeypatch.setattr(hits, "SHORT_BYTES", least)
+            found[least] = sorted(map(str, df.select("scan_id", candidates_of(F.col("text"), types).alias("found")).collect()))
+        assert found[0] == found[1 << 30], types
+    df.unpersist()
+
+
+def test_long_texts_are_cut_down(spark):
+    """Only runs and the characters at their ends are left to be searched by ten detectors."""
+    prose = "Ein Satz ohne alles, und noch einer. " * 3000
+    df = spark.createDataFrame([(f"{prose}Ruf an: 0171 1234567! {prose}",), (prose,)], "text string")
+    short, none = [r[0] for r in df.select(_runs(F.col("text"))).collect()]
+    assert "0171 1234567!" in short and len(short) < 60 and none is None
