@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactlake import fixed_values as fv
+from redactlake.functions.arrays import bind
 from redactlake.functions.bodies import allow_repeated_keys, json_document, message_segments, rewritten_body, whole_body
 from redactlake.functions.spans import PLACEHOLDER_PATTERN
 
-# the empty places right before and right after a placeholder
-_ENDS = "(?=\\[(?:{0})_[0-9]+\\])|(?<=\\[(?:{0})_[0-9]{{1,10}}\\])".format("|".join(fv.PII_TYPES))
+# a placeholder without its opening bracket, where a text is cut at brackets
+_OPENED = "^(?:{0})_[0-9]+\\]".format("|".join(fv.PII_TYPES))
 
 
 def _original(placeholder: Column, vault: Column) -> Column:
@@ -46,9 +47,16 @@ def _vaults(mapping: DataFrame, *keys: str) -> DataFrame:
 
 
 def _restored(text: Column, vault: Column) -> Column:
+    """Cut at opening brackets, which is a search for one character; whether a placeholder follows is then seen right behind each."""
+
+    def put_back(piece: Column, opened: Column) -> Column:
+        behind = F.substr(piece, F.length(opened) + 1)
+        original = _original(F.concat(F.lit("["), opened), vault)
+        return F.when(opened != "", F.concat(original, behind)).otherwise(F.concat(F.lit("["), piece))
+
     pieces = F.transform(
-        F.split(text, _ENDS, -1),
-        lambda p: F.when(p.rlike(f"^{PLACEHOLDER_PATTERN}$"), _original(p, vault)).otherwise(p),
+        F.split(text, r"\[", -1),
+        lambda p, i: F.when(i == 0, p).otherwise(bind(F.regexp_extract(p, _OPENED, 0), lambda opened: put_back(p, opened))),
     )
     return F.array_join(pieces, "")
 

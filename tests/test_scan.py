@@ -177,3 +177,14 @@ def test_restore_leaves_unknown_placeholders(spark):
     redacted = spark.createDataFrame([(1, "[EMAIL_1] [EMAIL_2]\x01[X_1]")], "scan_id int, anonymised_text string")
     mapping = spark.createDataFrame([(1, "[EMAIL_1]", "a@b.de")], "scan_id int, placeholder string, text string")
     assert restore(redacted, mapping).first()["restored_text"] == "a@b.de [EMAIL_2]\x01[X_1]"
+
+
+def test_restore_looks_behind_brackets_only(spark):
+    odd = ["[[EMAIL_1]]", "[EMAIL_1", "[EMAIL_12345678901]x", "]EMAIL_1][", "[EMAIL_1][EMAIL_1]\n", "\x01[EMAIL_2][", "[email_1]", "[EMAIL_01]"]
+    masked = spark.createDataFrame(list(enumerate(odd)), "scan_id int, anonymised_text string")
+    vault = spark.createDataFrame([(i, "[EMAIL_1]", "a[@]b") for i in range(len(odd))], "scan_id int, placeholder string, text string")
+    back = restore(masked, vault)
+    assert [r.restored_text for r in back.orderBy("scan_id").collect()] == [
+        "[a[@]b]", "[EMAIL_1", "[EMAIL_12345678901]x", "]EMAIL_1][", "a[@]ba[@]b\n", "\x01[EMAIL_2][", "[email_1]", "a[@]b",
+    ]
+    assert "(?<=" not in back._jdf.queryExecution().toString()
