@@ -14,8 +14,12 @@ _KEPT = 200
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``; lambdas would re-evaluate it per element."""
-    return F.transform(F.array(value), body)[0]
+    """Evaluate ``value`` once and use it several times in ``body``; lambdas would re-evaluate it per element.
+
+    A fold over nothing, of which ``body`` is the last step: taking the result out of an array instead would make Spark work out the
+    type of the whole of ``body`` for every row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def built_once(build: Callable[..., Column]) -> Callable[..., Column]:

@@ -94,10 +94,14 @@ def hits_in(pieces: Column, short: Column) -> Column:
         )
         return {"at": end}, hit
 
+    begin = {"at": F.lit(0).cast("bigint")}
     places = F.sequence(F.lit(1), F.floor(F.size(pieces) / 2).cast("int"))
-    return F.when(
-        F.size(pieces) > 1, fold_collect(places, {"at": F.lit(0).cast("bigint")}, step, HIT)
-    ).otherwise(empty_array(HIT))
+    # most searches find one match at most
+    return (
+        F.when(F.size(pieces) == 3, F.array(step(begin, F.lit(1))[1].cast(HIT)))
+        .when(F.size(pieces) > 1, fold_collect(places, begin, step, HIT))
+        .otherwise(empty_array(HIT))
+    )
 
 
 @dataclass(frozen=True)

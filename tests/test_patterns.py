@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import oracle
 from redactlake.functions import hits
+from redactlake.functions.arrays import bind
 from redactlake.functions.detectors import _runs, candidates_of
 from redactlake.functions.patterns import RUN_TYPES
 from redactlake.operators.scans import candidates
@@ -126,3 +127,24 @@ def test_long_texts_are_cut_down(spark):
     df = spark.createDataFrame([(f"{prose}Ruf an: 0171 1234567! {prose}",), (prose,)], "text string")
     short, none = [r[0] for r in df.select(_runs(F.col("text"))).collect()]
     assert "0171 1234567!" in short and len(short) < 60 and none is None
+
+
+def test_bound_values_are_used_without_an_array_around_the_result(spark):
+    rows = spark.createDataFrame([("ab",), (None,)], "t string")
+    bound = bind(F.col("t"), lambda a: bind(F.length(a), lambda n: F.struct(F.concat(a, a).alias("twice"), n.alias("n"), a.isNull().alias("none"))))
+    picked = rows.select(bound.alias("b")).select("b.*")
+    assert [tuple(r) for r in picked.collect()] == [("abab", 2, False), (None, None, True)]
+    # an element taken out of an array of results costs a walk through the type of the whole expression for every row
+    plan = rows.select(bound.alias("b"))._jdf.queryExecution().analyzed().toString()
+    assert "transform(array(" not in plan
+
+
+def test_one_match_has_the_place_that_it_has_among_several(spark):
+    rows = spark.createDataFrame([("äx7y",), ("7",), ("7y 7ü",), ("ab",), ("",), (None,)], "t string")
+    search = hits.Search(F.col("t"), "7", F.lit(True))
+    rows_of_hits = rows.select(hits.hits_of_all([search])[0].alias("h"))
+    got = [[tuple(h) for h in r.h] for r in rows_of_hits.collect()]
+    one = [(3, 4, "7", "x", "y")]
+    assert got == [one, [(0, 1, "7", "", "")], [(0, 1, "7", "", "y"), (3, 4, "7", " ", "ü")], [], [], []]
+    # a search with one match isn't folded
+    assert " = 3)" in rows_of_hits._jdf.queryExecution().analyzed().toString()
