@@ -31,6 +31,8 @@ from redactlake.llm.texts import encoded, slices
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Sets of a tile that give all their pairs; n-grams that the targets and the probes in a block of a larger one have, about.
 SMALL_TILE, TARGETS, PROBES = 8, 1 << 19, 1 << 18
+#: Pairs that may link which a block gives out for each of its members, at most; with more of them it gives out the members.
+PAIRS_A_MEMBER = 2
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -303,7 +305,8 @@ MEMBER = "tile bigint, block bigint, probe_block bigint, rep bigint, label bigin
 
 
 def _involved(rule: Rule):
-    """Of one block of a large tile the members that may link with one of another component, as far as bitmaps can tell."""
+    """Of one block of a large tile the pairs (rep, other) of different components that may link, as far as bitmaps can tell. Where these
+    are many, the members of such pairs, without other."""
 
     def involve(group: pa.Table) -> pa.Table:
         bits = group.column("bits").to_pylist()
@@ -311,13 +314,23 @@ def _involved(rule: Rule):
         maps = np.array([folded(own, width) for own in bits]).view(np.uint64)
         labels, sizes, probe = (group.column(c).to_numpy() for c in ("label", "n", "probe"))
         targets, found = np.flatnonzero(~probe), np.zeros(len(bits), bool)
+        pairs, most, n = [], PAIRS_A_MEMBER * len(bits), 0
         for p in np.flatnonzero(probe).tolist():
             differ = np.bitwise_count(maps[targets] ^ maps[p]).sum(1, dtype=np.int64)
             near = differ * (100 + rule.percent) <= (100 - rule.percent) * (sizes[targets] + sizes[p])
             near &= labels[targets] != labels[p]
             found[targets[near]] = True
             found[p] = near.any()
-        return group.filter(pa.array(found)).select([field.split()[0] for field in MEMBER.split(", ")])
+            n += int(near.sum())
+            if n <= most:
+                pairs += [(p, t) for t in targets[near].tolist()]
+        fields = [field.split()[0] for field in MEMBER.split(", ")]
+        if n > most:
+            members = group.filter(pa.array(found)).select(fields)
+            return members.append_column("other", pa.nulls(members.num_rows, pa.int64()))
+        one, other = np.array(pairs, np.int64).reshape(-1, 2).T
+        chosen = group.select(fields).take(pa.array(one))
+        return chosen.append_column("other", pa.array(group.column("rep").to_numpy()[other]))
 
     return involve
 
@@ -374,12 +387,15 @@ def ngram_links(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFram
     def side(name: str, *columns: str) -> DataFrame:
         return texts.select(F.col("rep").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
+    def verified(likely: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that link, by intersection."""
+        compared = likely.join(side("a", "text"), "a").join(side("b", "text"), "b")
+        return scratch.keep(compared.mapInArrow(_intersected(rule), "a bigint, b bigint"), name)
+
     def linked(candidates: DataFrame, name: str) -> DataFrame:
         """The candidates (a, b) that link: first by bitmaps, then by intersection."""
         judged = candidates.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-        likely = scratch.keep(judged.mapInArrow(_bounded(rule), "a bigint, b bigint"), f"{name}-likely")
-        compared = likely.join(side("a", "text"), "a").join(side("b", "text"), "b")
-        return scratch.keep(compared.mapInArrow(_intersected(rule), "a bigint, b bigint"), name)
+        return verified(scratch.keep(judged.mapInArrow(_bounded(rule), "a bigint, b bigint"), f"{name}-likely"), name)
 
     classes = narrow.where("n_shingles > 0 and doc_id is not null").join(reps.select("print", "rep"), "print")
     # rows with the same id in several classes hold these together
@@ -414,11 +430,14 @@ def ngram_links(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFram
     probes = probes.select("tile", all_of(F.col("k")).alias("block"), "probe_block", "rep", "label", F.lit(True).alias("probe"))
     cell = ["tile", "block", "probe_block"]
     judged = targets.unionByName(probes).join(texts.select("rep", "n", "bits"), "rep").groupBy(*cell)
-    involved = scratch.keep(judged.applyInArrow(_involved(rule), MEMBER), "involved")
+    involved = scratch.keep(judged.applyInArrow(_involved(rule), f"{MEMBER}, other bigint"), "involved")
+    # the same pair comes out of every tile that both sets are in; its texts are sent once
+    met = involved.where("other is not null").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    met = verified(scratch.keep(met.distinct(), "met"), "met-links")
     crossing = (
-        involved.join(texts.select("rep", "text"), "rep").groupBy(*cell).applyInArrow(_crossed(rule), "a bigint, b bigint")
+        involved.where("other is null").drop("other").join(texts.select("rep", "text"), "rep").groupBy(*cell).applyInArrow(_crossed(rule), "a bigint, b bigint")
     )
-    late = scratch.keep(crossing.distinct(), "late")
+    late = scratch.keep(crossing.unionByName(met).distinct(), "late")
     final = components(late.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch, "final")
     placed_classes = scratch.keep(
         reps.select("print", "rep").join(final, F.col("rep") == F.col("id"), "left").select(

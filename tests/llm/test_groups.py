@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from redactlake.llm import cover_sort, ngram_join, suffix_dedup
@@ -231,3 +232,22 @@ def test_batches_of_texts_stay_small(spark, find):
             assert spark.conf.get(name) == after
         finally:
             spark.conf.unset(name)
+
+
+def test_blocks_give_out_few_pairs_as_such_and_many_as_members():
+    rule = ngram_join.Rule(5, 80)
+    near = np.arange(1, 101, dtype=np.uint64)
+
+    def involved(sets):
+        columns = {"tile": [0], "block": [0], "probe_block": [0], "rep": range(len(sets)), "label": range(len(sets)), "probe": None}
+        rows = {k: list(v) * (len(sets) if len(v) == 1 else 1) for k, v in columns.items() if v is not None}
+        twice = pa.table({k: v + v for k, v in rows.items()} | {"probe": [True] * len(sets) + [False] * len(sets)})
+        twice = twice.append_column("n", pa.array([len(own) for own in sets] * 2))
+        twice = twice.append_column("bits", pa.array([ngram_join.bitmap(own) for own in sets] * 2))
+        return ngram_join._involved(rule)(twice).select(["rep", "other"]).to_pylist()
+
+    apart = [np.arange(1000 * i, 1000 * i + 100, dtype=np.uint64) for i in range(1, 8)]
+    assert involved([near, near[:95], *apart]) == [{"rep": 0, "other": 1}, {"rep": 1, "other": 0}]
+    many = involved([near] * 9)
+    assert [row["rep"] for row in many] == [*range(9), *range(9)] and all(row["other"] is None for row in many)
+    assert involved(apart) == []
