@@ -7,7 +7,8 @@ n-grams by chance, so that frequent n-grams don't matter.
 
 Tiles of a few sets give all their pairs. Larger ones first give the pairs of each set with the tile's first set and with its
 predecessor; when these links are known, only sets of different components are still compared, in blocks: first by bitmaps alone,
-then the sets that may link by their texts; each block gives out a spanning forest of the links it finds. A pair is first judged by hashed bitmaps: the number of differing bits bounds the
+then the sets that may link by their texts; each block gives out a spanning forest of the links it finds. A pair is first judged by hashed bitmaps: a bit tells whether
+an odd number of n-grams falls on it, so that n-grams which both sets hold cancel out; the number of differing bits bounds the
 difference from below, hence the overlap from above. Pairs that pass are intersected as sorted arrays. No link that joins
 different components is lost, and a group of near copies gives links in proportion to its sets, not to its pairs.
 """
@@ -85,6 +86,12 @@ class Rule:
         slack = 1 + most // 16
         return (most + 1 + slack, slack) if most else (0, 0)
 
+    @property
+    def bits(self) -> int:
+        """Bits per n-gram of a bitmap, at least: with them sets without a common n-gram, which differ in about half the bits, differ in
+        twice as many as linked sets may."""
+        return max(1, -(-9 * (100 - self.percent) // (100 + self.percent)))
+
     def signatures(self, grams: np.ndarray) -> np.ndarray:
         """The set's parts, as numbers that are equal for equal parts of one band."""
         if not len(grams):
@@ -109,17 +116,16 @@ class Rule:
         return 100 * overlap >= self.percent * (len(a) + len(b) - overlap)
 
 
-def bitmap(grams: np.ndarray) -> bytes:
-    """One bit per n-gram in a bitmap of at least four bits per n-gram, a power of two."""
-    width = 1 << max(6, int(4 * len(grams) - 1).bit_length())
-    bits = np.zeros(width, bool)
-    bits[(mixed(grams) & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+def bitmap(grams: np.ndarray, bits: int = 1) -> bytes:
+    """At least `bits` bits per n-gram, a power of two: whether an odd number of the n-grams falls on each."""
+    width = 1 << max(6, int(bits * len(grams) - 1).bit_length())
+    counts = np.bincount((mixed(grams) & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
 
 
 def folded(bits: bytes, width: int) -> np.ndarray:
     """The bitmap with `width` bytes that the same n-grams have."""
-    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0)
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0)
 
 
 def frequent_ngrams(docs: DataFrame, length: int, sample: int = 4096, least: int = 8, most: int = 1 << 16) -> np.ndarray:
@@ -239,7 +245,7 @@ def _bitmaps(rule: Rule):
                         pa.array([xxhash.xxh3_128_digest(own.tobytes()) for own in sets], pa.binary()),
                         pa.array([len(own) for own in sets], pa.int64()),
                         part.column("text"),
-                        pa.array([bitmap(own) for own in sets], pa.binary()),
+                        pa.array([bitmap(own, rule.bits) for own in sets], pa.binary()),
                     ],
                     ["rep", "print", "n", "text", "bits"],
                 )
@@ -377,24 +383,30 @@ def ngram_links(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFram
     members = scratch.keep(found.where("tile is not null").select("tile", F.col("a").alias("rep")), "members")
     used = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(members.select("rep")).distinct()
     used = scratch.keep(used, "used")
+    # sets that pass as likely without being used are in no pair and no tile, so that no join meets them
     texts = scratch.keep(
-        likely_members(rows, "doc_id", used).join(used, F.col("doc_id") == F.col("rep"), "left_semi")
+        likely_members(rows, "doc_id", used)
         .mapInArrow(_bitmaps(rule), "rep bigint, print binary, n bigint, text string, bits binary")
         .dropDuplicates(["rep", "print"]),
         "texts",
     )
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return texts.select(F.col("rep").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    def side(sets: DataFrame, name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("rep").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        """The texts of the sets in `ids` (rep), and a few others: a join then shuffles no more than these."""
+        return likely_members(texts.select("rep", "text"), "rep", scratch.keep(ids.distinct(), f"{name}-ids"))
 
     def verified(likely: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link, by intersection."""
-        compared = likely.join(side("a", "text"), "a").join(side("b", "text"), "b")
+        own = texts_of(likely.select(F.col("a").alias("rep")).union(likely.select("b")), name)
+        compared = likely.join(side(own, "a", "text"), "a").join(side(own, "b", "text"), "b")
         return scratch.keep(compared.mapInArrow(_intersected(rule), "a bigint, b bigint"), name)
 
     def linked(candidates: DataFrame, name: str) -> DataFrame:
         """The candidates (a, b) that link: first by bitmaps, then by intersection."""
-        judged = candidates.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+        judged = candidates.join(side(texts, "a", "n", "bits"), "a").join(side(texts, "b", "n", "bits"), "b")
         return verified(scratch.keep(judged.mapInArrow(_bounded(rule), "a bigint, b bigint"), f"{name}-likely"), name)
 
     classes = narrow.where("n_shingles > 0 and doc_id is not null").join(reps.select("print", "rep"), "print")
@@ -434,8 +446,9 @@ def ngram_links(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFram
     # the same pair comes out of every tile that both sets are in; its texts are sent once
     met = involved.where("other is not null").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
     met = verified(scratch.keep(met.distinct(), "met"), "met-links")
+    crowded = involved.where("other is null").drop("other")
     crossing = (
-        involved.where("other is null").drop("other").join(texts.select("rep", "text"), "rep").groupBy(*cell).applyInArrow(_crossed(rule), "a bigint, b bigint")
+        crowded.join(texts_of(crowded.select("rep"), "crowded"), "rep").groupBy(*cell).applyInArrow(_crossed(rule), "a bigint, b bigint")
     )
     late = scratch.keep(crossing.unionByName(met).distinct(), "late")
     final = components(late.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch, "final")

@@ -165,6 +165,47 @@ def test_bitmaps_bound_the_difference():
         assert differ <= len(np.setxor1d(a, b))
 
 
+def test_bitmaps_are_short_and_tell_sets_apart():
+    """Some 1 bit per n-gram at 80 %: blocks send a bitmap for every member of every tile."""
+    draw = np.random.default_rng(14)
+    assert len(bitmap(np.arange(300, dtype=np.uint64))) == 64
+    for percent in (50, 60, 80, 90, 100):
+        rule = Rule(5, percent)
+        for size in (120, 300, 2000):
+            common, *own = (np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64)) for n in (size // 4, size, size))
+            a, b = (np.union1d(common, x) for x in own)
+            x, y = bitmap(a, rule.bits), bitmap(b, rule.bits)
+            assert len(x) * 8 <= 2 * rule.bits * len(a)
+            width = min(len(x), len(y))
+            differ = int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum())
+            assert rule.differing(len(a) + len(b)) < differ <= len(np.setxor1d(a, b))
+
+
+def test_texts_are_sent_for_likely_pairs_only(monkeypatch, make):
+    """60 texts share a passage in threes, which makes them candidates; one pair of them links."""
+    draw = np.random.default_rng(15)
+
+    def words(n):
+        return [f"w{x}" for x in draw.integers(0, 1 << 40, n)]
+
+    passages = [words(60) for _ in range(20)]
+    texts = [[*words(30), *passages[i // 3], *words(30)] for i in range(60)]
+    texts[1] = [*texts[0][:-2], "x", "y"]
+    rows = [(i, " ".join(text), "en", "a") for i, text in enumerate(texts)]
+    sent, members = [], ngram_join.likely_members
+
+    def noted(frame, key, ids):
+        out = members(frame, key, ids)
+        if frame.columns == ["rep", "text"]:
+            sent.append((frame.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "likely_members", noted)
+    got = tuples(ngram_links(make(rows), 5, 80))
+    assert got == sorted(plain_links(rows, 5, 80), key=str) and got[1][2] == 0
+    assert sent and all(before > 20 and after < 10 for before, after in sent)
+
+
 def plain_removal(rows):
     counts = Counter(
         data[p : p + DEPTH] for data in ((text or "").encode() for _, text, *_ in rows) for p in range(len(data) - DEPTH + 1)
